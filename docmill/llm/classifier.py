@@ -150,6 +150,18 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame
     return docs.select(*keep, text_of("text").alias("_text")).mapInArrow(run, kind)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(model.margin.tobytes(), model.bias)
+        for b in batches:
+            yield b.filter(pa.array([score(t.as_py() or "") >= threshold for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @lru_cache(maxsize=2)
 def _scorer(margin: bytes, bias: float):
     """Kept by worker, so that its cache of words serves many tasks."""

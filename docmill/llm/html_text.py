@@ -164,10 +164,9 @@ def _named(tag: str, parent: str, attr: str) -> tuple[int, ...]:
 def node_features(dom: Dom) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
     """For every node, its features by name and by text."""
     n = len(dom.tags)
-    chars, last = [0] * n, [""] * n
+    chars = [0] * n
     for i, text in dom.runs:
         chars[i] += len(text)
-        last[i] = text[-1]
     total, links = chars[:], dom.link_chars[:]
     for i in range(n - 1, 0, -1):
         total[dom.parents[i]] += total[i]
@@ -178,8 +177,7 @@ def node_features(dom: Dom) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
         near = _level(dom.link_chars[i] / chars[i] if chars[i] else 0, (0.05, 0.4, 0.8))
         sub = _level(links[i] / total[i] if total[i] else 0, (0.05, 0.3, 0.6, 0.9))
         size = _level(total[i], (1, 60, 300, 1500))
-        stop = last[i] in ".!?…\"»”" if last[i] else 2
-        by_text = (_hash(f"own={own},{near}"), _hash(f"sub={size},{sub}"), _hash(f"stop={int(stop)},{own > 2}"), _hash(f"kind={tag},{own > 2},{near > 1}"))
+        by_text = (_hash(f"own={own},{near}"), _hash(f"sub={size},{sub}"), _hash(f"kind={tag},{own > 2},{near > 1}"))
         out.append((_named(tag, dom.tags[dom.parents[i]] if i else "", dom.attrs[i]), by_text))
     return out
 
@@ -241,13 +239,15 @@ def marginals(model: Model, dom: Dom, unary: list[float], pairs: bool = False):
     return (out, joint) if pairs else out
 
 
-def fit(pages: list[tuple[str, set[str]]], epochs: int = 8, rate: float = 0.25, decay: float = 1e-4, seed: int = 1) -> Model:
+def fit(pages: list[tuple[str, set[str]]], epochs: int = 10, rate: float = 0.25, decay: float = 1e-4, seed: int = 1) -> Model:
     """Stochastic gradient ascent of the labelled pages' log-likelihood. A label: the ``data-c`` marks of content nodes."""
     rng, model = random.Random(seed), Model()
     known = []
     for html, _ in pages:
         dom = parse(html)
         labels = [int('data-c="1"' in a) for a in dom.attrs]
+        for i in range(len(labels) - 1, 0, -1):  # what holds content counts as content: nothing below a rejected element is kept
+            labels[dom.parents[i]] |= labels[i]
         known.append((dom, node_features(dom), labels))
     for e in range(epochs):
         rng.shuffle(known)
@@ -268,7 +268,7 @@ def fit(pages: list[tuple[str, set[str]]], epochs: int = 8, rate: float = 0.25,
     return model
 
 
-def labelled_pages(n: int = 320, seed: int = 9) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 400, seed: int = 9) -> list[tuple[str, set[str]]]:
     """Generated pages of many layouts, whose content elements carry data-c="1" (an attribute that is no feature)."""
     rng = random.Random(seed)
     syllables = "ba co di en fu ga hi jo ka le mi no or pe qui ra sto tu un ve wi ya zo the an ing ter ment".split()
@@ -354,7 +354,7 @@ def labelled_pages(n: int = 320, seed: int = 9) -> list[tuple[str, set[str]]]:
 
     out = []
     for _ in range(n):
-        body = "".join(piece() for _ in range(rng.randint(1, 9)))
+        body = "".join(piece() for _ in range(rng.choice([rng.randint(1, 9), rng.randint(5, 40)])))
         if rng.random() < 0.25:
             body += inset() + "".join(piece() for _ in range(rng.randint(0, 4)))
         title = f"<h1{c}>{words(2, 14)}</h1>"

@@ -85,19 +85,30 @@ def _encoded() -> list[bytes]:
     return [w.encode() for w in WORDS]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, the counts) of every row; a null text has none of anything; unlisted and null languages are ``und``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("classes", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))])
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` as k0, k1, …, then lang and the counts, of every row; a null text has none of anything.
+
+    Unlisted and null languages are ``und``. Kept columns pass through, so that verdicts need no join with the texts.
+    """
+    names = [f"k{i}" for i in range(len(keep))]
+    lang = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("und") if "lang" in docs.columns else F.lit("und")
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], lang.alias("lang"), text_of("text").alias("text"))
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+    text_at = keep.index("text") if "text" in keep else None
+    if text_at is not None:  # the text travels once
+        rows = rows.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [counts(t.as_py()) for t in b.column(2)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), f.type) for c, f in zip(cols, list(schema)[2:], strict=True))], schema=schema)
+            made = [counts(t.as_py() or "") for t in b.column(text_at if text_at is not None else len(keep) + 1)]
+            cols = list(zip(*made, strict=True)) if made else [[]] * 7
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep) + 1)), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=[*names, "lang", *COUNTS, "classes", "words"])
 
-    lang = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("und") if "lang" in docs.columns else F.lit("und")
-    kind = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, words array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_of("text").alias("text")).mapInArrow(run, kind)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", " + ", ".join(f"{c} long" for c in COUNTS) + ", classes array<long>, words array<long>"
+    return rows.mapInArrow(run, kind)
 
 
 def shares(counts: Column) -> Column:
@@ -130,23 +141,29 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, …, base_failed, kept, class_distance, word_distance) of every row.
+def verdicts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """k0, k1, … (the columns ``keep``), the counts, base_failed, kept and the two distances of every row of ``docs``.
 
     A document is kept if it passes the base limits and either is too short to judge or lies near the reference of its
     language in both histograms. A language without reference (all its documents fail the base limits) judges nobody.
-    An empty table gives an empty one; repeated rows are judged each; other columns are ignored.
+    An empty table gives an empty one; repeated rows are judged each.
     """
-    counted = written(features(docs), "counts")
+    counted = written(features(docs, keep), "counts")
     refs = written(references(counted), "references")
     j = counted.join(F.broadcast(refs), "lang", "left")
     j = j.withColumn("class_distance", distance(shares(F.col("classes")), F.col("ref_classes"))).withColumn("word_distance", distance(shares(F.col("words")), F.col("ref_words")))
     more = F.lit(SHORT) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
     far = (F.col("class_distance") > CLASS_DISTANCE + more) | (F.col("word_distance") > WORD_DISTANCE + more)
-    j = j.withColumn("base_failed", base_failed())
-    ok = ~F.col("base_failed") & ((F.col("n_words") < JUDGED_WORDS) | ~F.coalesce(far, F.lit(False)))
-    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", ok.alias("kept"), "class_distance", "word_distance")
+    ok = ~base_failed() & ((F.col("n_words") < JUDGED_WORDS) | ~F.coalesce(far, F.lit(False)))
+    return j.select(*[f"k{i}" for i in range(len(keep))], *COUNTS, base_failed().alias("base_failed"), ok.alias("kept"), "class_distance", "word_distance")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep; nothing is shuffled but counts by language."""
+    kept = verdicts(docs, docs.columns).where("kept")
+    return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return verdicts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"]).withColumnRenamed("k0", "doc_id")

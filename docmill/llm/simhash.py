@@ -49,8 +49,8 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a signed 64-bit fingerprint of every whole text.
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp[, h]): a signed 64-bit fingerprint of every whole text, and the text's own hash if asked for.
 
     A-Z lower-cased, words between ASCII white space, four-word shingles with repeats (fewer words: the whole sequence;
     none, so also for a null text: zero), XXH64 with seed 42, majority by bit (ties are 0). Other columns are ignored.
@@ -58,10 +58,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            texts = [t.as_py() for t in b.column(1)]
+            cols = [b.column(0), pa.array(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))]
+            if hashed:  # as Spark's xxhash64 of the same text
+                cols.append(pa.array(np.fromiter((xxhash.xxh64_intdigest(t.encode(), 42) for t in texts), np.uint64, len(texts)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "h"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(make, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    return rows.mapInArrow(make, "doc_id long, fp long" + (", h long" if hashed else ""))
 
 
 def position_sets(m: int) -> list[tuple[int, ...]]:
@@ -135,6 +139,15 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long")
 
 
+def _classes(rows: DataFrame, least) -> DataFrame:
+    """(fp, n, best): the rows of each fingerprint, and the least ``least`` over all rows of its component."""
+    classes = written(rows.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")), "classes")
+    roots = components(fingerprint_links(classes.select("fp")))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    return written(rooted.join(lowest, "root").select("fp", "n", "best"), "named")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
@@ -143,20 +156,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     repeated rows and doc_ids each get a row; an empty table gives an empty one.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    roots = components(fingerprint_links(classes.select("fp")))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(lowest, "root").select("fp", "n", "component_id"), "named")
+    named = _classes(rows, F.col("doc_id"))
     hex_ = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return look_up(rows, named, ["fp"], "inner", "n").select("doc_id", hex_.alias("fingerprint"), "component_id")
+    return look_up(rows, named, ["fp"], "inner", "n").select("doc_id", hex_.alias("fingerprint"), F.col("best").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one with the smallest doc_id, one row of those that repeat it."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.select(F.col("doc_id").alias("_keep")), F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component, all columns: that with the smallest doc_id (then text hash); null doc_ids come last.
+
+    Of rows that repeat doc_id and text one stays. Texts are shuffled once, by doc_id and hash, which no group makes hot.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    rows = written(fingerprints(keyed, hashed=True), "fingerprints")
+    best = _classes(rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).select("best.doc_id", "best.h").distinct()
+    marked = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(text_of("text")))
+    kept = marked.join(best.select(F.col("doc_id").alias("_bd"), F.col("h").alias("_bh")), F.col("_d").eqNullSafe(F.col("_bd")) & (F.col("_h") == F.col("_bh")), "left_semi")
+    return kept.dropDuplicates(["_d", "_h"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
