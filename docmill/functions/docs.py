@@ -5,8 +5,10 @@ from __future__ import annotations
 import copy
 import json
 import re
+from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
@@ -231,10 +233,6 @@ def create_patch(old: Any, new: Any, path: str = "") -> list[dict]:
 
 def patched(df: DataFrame, column: str, ops: list[dict]) -> DataFrame:
     """A JSON text column with the patch applied to each document; documents that it does not fit become null."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def one(text: str | None) -> str | None:
         try:
             return None if text is None else json.dumps(apply_patch(json.loads(text), ops), ensure_ascii=False)

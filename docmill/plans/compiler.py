@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,12 @@ _MARK = "__row_of_"
 _UNORDERED = (MapType, VariantType)
 
 
+def _unqualified(path: str, sources: Collection[str]) -> list[str]:
+    """The parts of a path, without the alias of its source."""
+    parts = path.split(".")
+    return parts[1:] if len(parts) > 1 and parts[0] in sources else parts
+
+
 def _alias(item: dict) -> str:
     return (item.get("computed_field_expression") or item.get("case_expression") or item)["alias"]
 
@@ -163,19 +169,21 @@ class Compiler:
             return out.otherwise(self.value(item.get("else"), scope, depth)).alias(item["alias"])
         return self.value(item["expression"], scope, depth).alias(item["alias"])
 
-    def _included(self, fields: list[dict], resolve: Callable[[str], Column], plain: bool = False) -> list[Column]:
+    def _included(self, fields: list[dict], resolve: Callable[[str], Column], sources: Collection[str] = ()) -> list[Column]:
         """The included fields; dotted paths rebuild their nesting, fields that share a parent in one struct."""
         out: dict[str, Any] = {}
         for f in fields:
             c = resolve(f["name"])
             if f.get("nested"):
                 c = self._nested(c, f["nested"])
-            parts = [f["alias"]] if f.get("alias") else [f["name"].split(".")[-1]] if plain else f["name"].split(".")
+            parts = [f["alias"]] if f.get("alias") else _unqualified(f["name"], sources)
             at = out
             for p in parts[:-1]:
                 at = at.setdefault(p, {})
                 if not isinstance(at, dict):
                     raise QueryError("PROJECTION", f"{f['name']} is included twice")
+            if parts[-1] in at:
+                raise QueryError("PROJECTION", f"{f['name']} needs an alias: its name is taken")
             at[parts[-1]] = c
 
         def build(x: Any) -> Column:
@@ -290,7 +298,7 @@ class Compiler:
             df = df.withColumn("__n", n).where("__n = 1").drop("__n")
         computed = [self.computed(c, scope, depth) for c in p.get("computed") or []]
         if p.get("include"):
-            columns = self._included(p["include"], scope.resolve, plain=len(scope.sources) > 1)
+            columns = self._included(p["include"], scope.resolve, scope.sources)
         elif computed and not p.get("exclude") and not p.get("include") and p.get("computed"):
             columns = []
         elif len(scope.sources) > 1:
@@ -298,7 +306,7 @@ class Compiler:
         else:
             columns = [F.col(f"`{alias}`.`{c}`") for c in scope.sources[alias]]
         if p.get("include"):
-            names = list(dict.fromkeys(f.get("alias") or (f["name"].split(".")[-1] if len(scope.sources) > 1 else f["name"].split(".")[0]) for f in p["include"]))
+            names = list(dict.fromkeys(f.get("alias") or _unqualified(f["name"], scope.sources)[0] for f in p["include"]))
         else:
             names = ([] if not columns else list(scope.sources) if len(scope.sources) > 1 else list(scope.sources[alias]))
         names += [_alias(c) for c in p.get("computed") or []]
