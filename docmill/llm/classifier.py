@@ -24,7 +24,8 @@ from docmill.llm.tokens import _Cache
 
 #: Hash buckets, dimensions, character n-grams, and the most labelled documents that the model is fitted on.
 BUCKETS, DIM, GRAM, FIT_ROWS = 1 << 16, 8, 3, 4000
-EPOCHS, RATE, SEED = 4, 0.5, 3
+#: Passes over the sample, and the least steps in all: small samples are passed more often.
+EPOCHS, STEPS, RATE, SEED = 4, 12_000, 0.5, 3
 THRESHOLD, FOLDS = 0.3, 5
 SAME = b"\x00same"
 CACHE_WORDS = 400_000
@@ -92,6 +93,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], n: int = B
         return Model(np.zeros(n), prior)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (n, dim))
+    epochs = max(epochs, -(-STEPS // len(y)))
     out, bias, steps, done = np.zeros((dim, 2)), np.zeros(2), epochs * len(y), 0
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
