@@ -143,11 +143,13 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, frame_byte
     it. Other columns are ignored. Bodies are shuffled once, by page_id and digest, which spreads any hot payload.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(text_of("html"), "UTF-8").alias("payload"))
-    rows = src.withColumn("digest", base32_sha1(F.col("payload")))
-    seen = decide(src, least_bytes)
-    on = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
-    rows = rows.join(seen.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to"), on, "left").select("page_id", "url", "payload", "digest", "refers_to")
-    rows = rows.repartition(shuffle_partitions(pages.sparkSession), "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    n = shuffle_partitions(pages.sparkSession)
+    key = lambda d: d.withColumn("_null", F.col("page_id").isNull()).withColumn("_page", F.coalesce("page_id", F.lit(0)))
+    rows = key(src.withColumn("digest", base32_sha1(F.col("payload")))).repartition(n, "_null", "_page", "digest")
+    seen = key(decide(src, least_bytes)).drop("page_id")
+    # the join keeps the partitioning of its left side, so bodies move once
+    rows = rows.join(seen, ["_null", "_page", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    rows = rows.sortWithinPartitions("page_id", "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
