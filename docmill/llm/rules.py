@@ -5,6 +5,8 @@ One Python pass turns each whole text into counts; references, divergences and v
 
 from __future__ import annotations
 
+import functools
+import operator
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -111,8 +113,8 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, kind)
 
 
-def shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+def shares(counts: Column, total: Column) -> Column:
+    """``total`` should be a column: an expression would be evaluated anew for each element."""
     return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
 
 
@@ -130,11 +132,18 @@ def references(counted: DataFrame) -> DataFrame:
 
     At most one row a listed language and one for all others, so it may be broadcast.
     """
-    sums = counted.where(~base_failed()).groupBy("lang").agg(
+    sums = counted.withColumn("n_chars", _chars()).where(~base_failed()).groupBy("lang").agg(
+        F.sum("n_chars").alias("n_chars"),
+        F.sum("n_words").alias("n_words"),
         F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES))]).alias("classes"),
         F.array(*[F.sum(F.col("words")[i]) for i in range(len(WORDS) + 1)]).alias("words"),
     )
-    return sums.select("lang", shares(F.col("classes")).alias("ref_classes"), shares(F.col("words")).alias("ref_words"))
+    return sums.select("lang", shares(F.col("classes"), F.col("n_chars")).alias("ref_classes"), shares(F.col("words"), F.col("n_words")).alias("ref_words"))
+
+
+def _chars() -> Column:
+    """All characters: the sum of the few class counts, plain additions that generated code takes."""
+    return functools.reduce(operator.add, [F.col("classes")[i] for i in range(len(CLASSES))])
 
 
 def base_failed() -> Column:
@@ -151,7 +160,7 @@ def verdicts(docs: DataFrame, keep: list[str]) -> DataFrame:
     counted = written(features(docs, keep), "counts")
     refs = written(references(counted), "references")
     j = counted.join(F.broadcast(refs), "lang", "left")
-    j = j.withColumn("class_distance", distance(shares(F.col("classes")), F.col("ref_classes"))).withColumn("word_distance", distance(shares(F.col("words")), F.col("ref_words")))
+    j = j.withColumn("class_distance", distance(shares(F.col("classes"), _chars()), F.col("ref_classes"))).withColumn("word_distance", distance(shares(F.col("words"), F.col("n_words")), F.col("ref_words")))
     more = F.lit(SHORT) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
     far = (F.col("class_distance") > CLASS_DISTANCE + more) | (F.col("word_distance") > WORD_DISTANCE + more)
     ok = ~base_failed() & ((F.col("n_words") < JUDGED_WORDS) | ~F.coalesce(far, F.lit(False)))
