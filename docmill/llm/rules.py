@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 import operator
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,8 @@ SPACE = "\t\n\x0b\x0c\r "
 #: Base limits of the contract; words from which a histogram is judged; the most distance kept,
 #: and what a text of few words may lie farther off: this much over the root of its words.
 LEAST_WORDS, MOST_REPEATED, JUDGED_WORDS, CLASS_DISTANCE, WORD_DISTANCE, SHORT = 50, 50, 50, 0.25, 0.42, 0.4
+#: A document's shares are summed in whole parts of this size.
+SHARE_UNIT = 2.0**32
 
 
 @lru_cache(maxsize=1)
@@ -87,29 +90,40 @@ def _encoded() -> list[bytes]:
     return [w.encode() for w in WORDS]
 
 
+def signature(text: str) -> int:
+    """The least hash of the text's word triples: exact copies always share it, near copies mostly do, others hardly ever."""
+    words = text.encode().split()
+    c = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    if len(c) < 3:
+        return zlib.crc32(b" ".join(words))
+    h = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return int((h ^ (h >> np.uint64(29))).min() >> np.uint64(1))
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` as k0, k1, …, then lang and the counts, of every row; a null text has none of anything.
+    """``keep`` as k0, k1, …, then lang, the counts and the signature of every row; a null text has none of anything.
 
     Unlisted and null languages are ``und``. Kept columns pass through, so that verdicts need no join with the texts.
     """
     names = [f"k{i}" for i in range(len(keep))]
     lang = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("und") if "lang" in docs.columns else F.lit("und")
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], lang.alias("lang"), text_of("text").alias("text"))
-    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int64()]
     text_at = keep.index("text") if "text" in keep else None
     if text_at is not None:  # the text travels once
         rows = rows.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [counts(t.as_py() or "") for t in b.column(text_at if text_at is not None else len(keep) + 1)]
-            cols = list(zip(*made, strict=True)) if made else [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep) + 1)), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=[*names, "lang", *COUNTS, "classes", "words"])
+            made = [(*counts(t), signature(t)) for t in (x.as_py() or "" for x in b.column(text_at if text_at is not None else len(keep) + 1))]
+            cols = list(zip(*made, strict=True)) if made else [[]] * 8
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep) + 1)), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=[*names, "lang", *COUNTS, "classes", "words", "signature"])
 
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", " + ", ".join(f"{c} long" for c in COUNTS) + ", classes array<long>, words array<long>"
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", " + ", ".join(f"{c} long" for c in COUNTS) + ", classes array<long>, words array<long>, signature long"
     return rows.mapInArrow(run, kind)
 
 
@@ -128,17 +142,24 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_words): the shares over all documents of each language, those that fail the base limits aside.
+    """(lang, ref_classes, ref_words): the mean shares over the documents of each language, those that fail the base limits aside.
 
-    At most one row a listed language and one for all others, so it may be broadcast.
+    Documents of one signature (copies and near copies) count once, and each as one document whatever its length, so
+    that neither a hot group of copies nor a long document becomes the reference. Sums are of whole numbers: retries
+    agree. At most one row a listed language and one for all others, so it may be broadcast.
     """
-    sums = counted.withColumn("n_chars", _chars()).where(~base_failed()).groupBy("lang").agg(
-        F.sum("n_chars").alias("n_chars"),
-        F.sum("n_words").alias("n_words"),
-        F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES))]).alias("classes"),
-        F.array(*[F.sum(F.col("words")[i]) for i in range(len(WORDS) + 1)]).alias("words"),
+    once = counted.where(~base_failed()).groupBy("lang", "signature").agg(F.min(F.struct("n_words", "classes", "words")).alias("x")).select("lang", "x.*").withColumn("n_chars", _chars())
+
+    def total(name: str, i: int, n: str) -> Column:
+        return F.sum(F.round(F.col(name)[i] * F.lit(SHARE_UNIT) / F.col(n)).cast("long"))
+
+    sums = once.groupBy("lang").agg(
+        F.array(*[total("classes", i, "n_chars") for i in range(len(CLASSES))]).alias("classes"),
+        F.array(*[total("words", i, "n_words") for i in range(len(WORDS) + 1)]).alias("words"),
     )
-    return sums.select("lang", shares(F.col("classes"), F.col("n_chars")).alias("ref_classes"), shares(F.col("words"), F.col("n_words")).alias("ref_words"))
+    add = functools.partial(F.aggregate, initialValue=F.lit(0).cast("long"), merge=operator.add)
+    sums = sums.withColumn("n_classes", add("classes")).withColumn("n_words", add("words"))
+    return sums.select("lang", shares(F.col("classes"), F.col("n_classes")).alias("ref_classes"), shares(F.col("words"), F.col("n_words")).alias("ref_words"))
 
 
 def _chars() -> Column:

@@ -291,6 +291,29 @@ def test_rules(docs, texts):
     assert rules.kept_documents(none(docs)).count() == 0
 
 
+def judged(spark, clean, junk):
+    """Which of the clean and of the junk texts, all Spanish, are kept."""
+    rows = [(i, x, "es") for i, x in enumerate(clean + junk)]
+    got = {r.k0: r.kept for r in rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    return [got[i] for i in range(len(clean))], [got[i] for i in range(len(clean), len(rows))]
+
+
+def spanish(rng, n):
+    """As many words, a quarter of them common ones."""
+    plain = [a + b + c for a in ("ca", "mon", "ti") for b in ("ra", "lle", "go") for c in ("do", "na", "sol")]
+    return " ".join(rng.choice(rules.COMMON["es"].split()[:12]) if rng.random() < 0.25 else rng.choice(plain) for _ in range(n))
+
+
+def test_rules_hot_junk(spark):
+    rng = random.Random(5)
+    clean = [spanish(rng, 300) for _ in range(60)]
+    junk = [f"#{rng.randint(100, 999)}$ 4{rng.randint(10, 99)}|{i}" for i in range(114)]
+    near = [" ".join([*junk[:k], f"{k}%", *junk[k + 1 :]]) for k in range(45)]
+    for group in ([" ".join(junk)] * 90, near * 2, [" ".join(f"#{i}$ 4{i}|" for i in range(20_000))]):
+        good, bad = judged(spark, clean, group)
+        assert all(good) and not any(bad)
+
+
 def test_distance(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([0.8, 0.2], [0.3, 0.7])], "p array<double>, q array<double>")
     got = [r.d for r in df.select(rules.distance(F.col("p"), F.col("q")).alias("d")).collect()]
