@@ -39,6 +39,8 @@ SPACE = "\t\n\x0b\x0c\r "
 #: Base limits of the contract; words from which a histogram is judged; the most distance kept,
 #: and what a text of few words may lie farther off: this much over the root of its words.
 LEAST_WORDS, MOST_REPEATED, JUDGED_WORDS, CLASS_DISTANCE, WORD_DISTANCE, SHORT = 50, 50, 50, 0.25, 0.42, 0.4
+#: Share of a reference's distance from a text without common words that is kept in its language, and with all slack.
+WORD_SHARE, WORD_MOST = 0.85, 0.98
 #: A document's shares are summed in whole parts of this size.
 SHARE_UNIT = 2.0**32
 
@@ -171,25 +173,33 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
+def word_limit(no_words: Column, more: Column) -> Column:
+    """The least word distance that is too far, for a reference that lies ``no_words`` from a text without common words."""
+    return F.least(WORD_SHARE * no_words + more, WORD_MOST * no_words)
+
+
 def verdicts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """k0, k1, … (the columns ``keep``), the counts, base_failed, kept and the two distances of every row of ``docs``.
 
     A document is kept if it passes the base limits and either is too short to judge or lies near the reference of its
-    language in both histograms. A language without reference (all its documents fail the base limits) judges nobody.
-    An empty table gives an empty one; repeated rows are judged each.
+    language in both histograms. In a listed language a text without common words is always too far, whatever its length;
+    unlisted languages have no list, so only the fixed distance holds there. A language without reference (all its
+    documents fail the base limits) judges nobody. An empty table gives an empty one; repeated rows are judged each.
     """
     counted = written(features(docs, keep), "counts")
-    refs = written(references(counted), "references")
+    none = F.concat(F.array_repeat(F.lit(0.0), len(WORDS)), F.array(F.lit(1.0)))
+    refs = written(references(counted).withColumn("no_words_distance", distance(none, F.col("ref_words"))), "references")
     j = counted.join(F.broadcast(refs), "lang", "left")
     j = j.withColumn("class_distance", distance(shares(F.col("classes"), _chars()), F.col("ref_classes"))).withColumn("word_distance", distance(shares(F.col("words"), F.col("n_words")), F.col("ref_words")))
     more = F.lit(SHORT) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
-    far = (F.col("class_distance") > CLASS_DISTANCE + more) | (F.col("word_distance") > WORD_DISTANCE + more)
+    words_far = (F.col("word_distance") > WORD_DISTANCE + more) | (F.col("lang").isin(*COMMON) & (F.col("word_distance") >= word_limit(F.col("no_words_distance"), more)))
+    far = (F.col("class_distance") > CLASS_DISTANCE + more) | words_far
     ok = ~base_failed() & ((F.col("n_words") < JUDGED_WORDS) | ~F.coalesce(far, F.lit(False)))
     return j.select(*[f"k{i}" for i in range(len(keep))], *COUNTS, base_failed().alias("base_failed"), ok.alias("kept"), "class_distance", "word_distance")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep; nothing is shuffled but counts by language."""
+    """The rows of ``docs``, all columns, that the rules keep; nothing is shuffled but one row of counts for each group of copies."""
     kept = verdicts(docs, docs.columns).where("kept")
     return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 

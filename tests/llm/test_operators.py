@@ -314,6 +314,16 @@ def test_rules_hot_junk(spark):
         assert all(good) and not any(bad)
 
 
+def test_rules_without_common_words(spark):
+    rng = random.Random(6)
+    clean = [spanish(rng, n) for n in (60, 80, 150, 300, 600) for _ in range(20)]
+    listed = set(rules.WORDS)
+    salad = [" ".join("".join(rng.choice("aeilmnorst") for _ in range(rng.randint(4, 9))) for _ in range(n)) for n in (50, 60, 100, 1000, 9000)]
+    salad = [" ".join(w for w in x.split() if w not in listed) + " palabra" for x in salad]
+    good, bad = judged(spark, clean, salad)
+    assert all(good) and not any(bad)
+
+
 def test_distance(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([0.8, 0.2], [0.3, 0.7])], "p array<double>, q array<double>")
     got = [r.d for r in df.select(rules.distance(F.col("p"), F.col("q")).alias("d")).collect()]
