@@ -29,33 +29,48 @@ def rotation(v: np.ndarray, rng: np.random.Generator, rounds: int = 25) -> np.nd
     return r
 
 
+def threshold_pairs(sample: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """A vector at the threshold's cosine from each of ``sample``, off in the direction of ``noise``."""
+    noise = noise - (noise * sample).sum(axis=1, keepdims=True) * sample
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+    return COSINE * sample + math.sqrt(1 - COSINE**2) * noise
+
+
 class Tables:
-    """Substring tables over the bits of as many learnt rotations as simulated threshold pairs need to be met."""
+    """Substring tables over the bits of as many learnt rotations as simulated threshold pairs need to be met.
+
+    Pairs differ by isotropic noise and by noise of the sample's own covariance; both kinds must meet. Rotations
+    are fitted on one half of the sample, pairs made from the other. If MOST_TABLES
+    don't do, substrings are narrowed bit by bit; of width 0, one table holds all vectors, and the comparison is exact.
+    """
 
     def __init__(self, sample: np.ndarray, width: int, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
-        self.width = width
         self.mean = sample.mean(axis=0)
-        noise = rng.standard_normal(sample.shape)
-        noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
-        noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-        near = COSINE * sample + math.sqrt(1 - COSINE**2) * noise
+        fitted = sample[::2] - self.mean
+        sample = sample[1::2] if len(sample) > 1 else sample
         v = sample - self.mean
-        met = np.zeros(len(sample), bool)
+        plain = rng.standard_normal(sample.shape)
+        own = rng.standard_normal((len(sample), len(sample))) @ v
+        own = np.where(np.linalg.norm(own, axis=1, keepdims=True) > 1e-9, own, plain)
+        near = [threshold_pairs(sample, noise) - self.mean for noise in (plain, own)]
         rs: list[np.ndarray] = []
-        bits_a, bits_b = np.zeros((len(sample), 0), bool), np.zeros((len(sample), 0), bool)
-        self.tables = 0
-        while self.tables < MOST_TABLES and (not self.tables or met.mean() < RECALL):
-            r = rotation(v, rng)
-            rs.append(r)
-            bits_a = np.hstack([bits_a, v @ r >= 0])
-            bits_b = np.hstack([bits_b, (near - self.mean) @ r >= 0])
-            while bits_a.shape[1] >= (self.tables + 1) * width and (not self.tables or met.mean() < RECALL):
-                cut = slice(self.tables * width, (self.tables + 1) * width)
-                met |= (bits_a[:, cut] == bits_b[:, cut]).all(axis=1)
+        bits_a, bits_b = np.zeros((len(sample), 0), bool), np.zeros((2, len(sample), 0), bool)
+        for self.width in range(width, -1, -1):
+            met = np.zeros((2, len(sample)), bool)
+            self.tables = 0
+            while self.tables < (MOST_TABLES if self.width else 1) and met.mean(axis=1).min() < RECALL:
+                cut = slice(self.tables * self.width, (self.tables + 1) * self.width)
+                while bits_a.shape[1] < cut.stop:
+                    rs.append(rotation(fitted, rng))
+                    bits_a = np.hstack([bits_a, v @ rs[-1] >= 0])
+                    bits_b = np.concatenate([bits_b, np.stack([x @ rs[-1] >= 0 for x in near])], axis=2)
+                met |= (bits_a[:, cut] == bits_b[:, :, cut]).all(axis=2)
                 self.tables += 1
-        self.r = np.hstack(rs)[:, : self.tables * width].reshape(d, -1)
+            if met.mean(axis=1).min() >= RECALL:
+                break
+        self.r = np.hstack([np.zeros((d, 0)), *rs])[:, : self.tables * self.width]
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """The substring of each vector in each table, as int64 (vectors, tables)."""

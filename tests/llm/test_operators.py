@@ -353,6 +353,32 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(none(df)).count() == 0
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.7])
+def test_tables_with_a_common_direction(mean):
+    rng = np.random.default_rng(8)
+
+    def draw(n):
+        x = rng.standard_normal((n, 64))
+        return x / np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(1 - mean)
+
+    x = draw(2000)
+    x[:, 0] += np.sqrt(mean)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tables = embeddings.Tables(x[:1000], 20)
+    y = embeddings.threshold_pairs(x[1000:], draw(1000))
+    assert (tables.keys(x[1000:]) == tables.keys(y)).any(axis=1).mean() >= 0.9
+
+
+def test_embeddings_exact_when_no_table_does(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "MOST_TABLES", 1)
+    rng = np.random.default_rng(9)
+    x = (rng.standard_normal((200, 16)) + 2.0).astype("float32")
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = y @ y.T >= 0.9
+    assert {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()} == dict(enumerate((s.sum(axis=1) - 1).tolist()))
+
+
 def test_mixing(spark, docs):
     rows = [(i, "big" if i < 900 else f"s{i % 4}", 10 + i % 7) for i in range(1000)]
     d = written(spark.createDataFrame(rows, "doc_id long, source string, tokens long").withColumn("_row", F.lit(0)), "m")
