@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table, text_of
-from docmill.llm.tokens import _Cache
+from docmill.llm.common import by_bytes, table, text_of, worker_cache
 
 #: Hash buckets, dimensions, character n-grams, and the most labelled documents that the model is fitted on.
 BUCKETS, DIM, GRAM, FIT_ROWS = 1 << 16, 8, 3, 4000
@@ -28,7 +27,6 @@ BUCKETS, DIM, GRAM, FIT_ROWS = 1 << 16, 8, 3, 4000
 EPOCHS, STEPS, RATE, SEED = 4, 12_000, 0.5, 3
 THRESHOLD, FOLDS = 0.3, 5
 SAME = b"\x00same"
-CACHE_WORDS = 400_000
 
 
 def buckets(word: bytes, n: int = BUCKETS) -> list[int]:
@@ -71,14 +69,16 @@ class Model:
             b = buckets(word, n)
             return sum([margin[i] for i in b]) / len(b)
 
-        words_margin, same_margin = _Cache(of, CACHE_WORDS), of(SAME)
+        cache, same_margin = worker_cache(), of(SAME)
 
         def score(text: str) -> float:
             words = text.encode().split()
             z = self.bias
             if words:
+                for w in cache.missing(set(words)):
+                    cache.add(w, of(w))
                 same = sum(map(eq, words, words[1:]))
-                z += (sum(map(words_margin.__getitem__, words)) + same * same_margin) / (len(words) + same)
+                z += (sum(map(cache.new.__getitem__, words)) + same * same_margin) / (len(words) + same)
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
@@ -121,50 +121,58 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
     """Fit on at most ``fit_rows`` labelled documents outside the held-out fold, drawn by hash.
 
     Executors turn the documents, whole, into bags of at most BUCKETS weights; only those reach the driver. Labels other
-    than 0 and 1 are ignored, of repeated labels the larger counts, of repeated doc_ids all rows. Without labels every score is 0.5.
+    than 0 and 1 are ignored, of repeated labels the larger counts, of repeated doc_ids the text of the least hash.
+    Without labels, or documents of labels, every score is 0.5.
     """
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of("text").alias("text")).join(F.broadcast(chosen), "_id")
+    texts = texts.groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.first("_label").alias("_label")).select("_id", F.col("t.text").alias("text"), "_label")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = _Cache(buckets, CACHE_WORDS // 4).__getitem__
-        for b in batches:
-            made = [bag(t.as_py(), cached) for t in b.column(1)]
+        for b in by_bytes(batches, 1):
+            made = [bag(t.as_py(), lru_cache(maxsize=None)(buckets)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([m[0].tobytes() for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())], names=["id", "label", "at", "w"])
 
-    rows = texts.select("_id", "text", "_label").mapInArrow(make, "id long, label int, at binary, w binary").limit(2 * fit_rows).toArrow().sort_by([("id", "ascending"), ("at", "ascending")])
+    rows = texts.select("_id", "text", "_label").mapInArrow(make, "id long, label int, at binary, w binary").toArrow().sort_by([("id", "ascending"), ("at", "ascending")])
     bags = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float32)) for a, w in zip(rows.column("at").to_pylist(), rows.column("w").to_pylist(), strict=True)]
     return fit(bags, rows.column("label").to_pylist())
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` and ``score`` of every row; a null text is empty, an empty table gives an empty one; each text is scored whole."""
-    schema = docs.select(*keep).schema
+    """``keep`` and ``score`` of every row; a null text is empty, an empty table gives an empty one; each text is scored whole.
+
+    A kept column that is itself called ``score`` comes out as ``score_``; repeated rows are scored each.
+    """
+    schema = docs.select(*[F.col(c).alias("score_" if c == "score" else c) for c in keep]).schema
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(model.margin.tobytes(), model.bias)
-        for b in batches:
+        for b in by_bytes(batches, len(keep)):
             cols = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([score(t.as_py()) for t in b.column(len(keep))], pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([score(t.as_py()) for t in b.column(len(keep))], pa.float64())], names=[*names, "score"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", score double"
-    return docs.select(*keep, text_of("text").alias("_text")).mapInArrow(run, kind)
+    return docs.select(*keep, text_of("text")).mapInArrow(run, kind)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; nothing is shuffled."""
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; nothing is shuffled.
+
+    A null text is empty; repeated rows are judged each; an empty table gives an empty one; columns of any name pass.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(model.margin.tobytes(), model.bias)
-        for b in batches:
+        for b in by_bytes(batches, at):
             yield b.filter(pa.array([score(t.as_py() or "") >= threshold for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _scorer(margin: bytes, bias: float):
     """Kept by worker, so that its cache of words serves many tasks."""
     return Model(np.frombuffer(margin), bias).scorer()

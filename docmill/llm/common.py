@@ -9,12 +9,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its row count was measured and is at most this many.
 BROADCAST_ROWS = 20_000
+#: Bytes that the cache of a Python worker may take, and those that an entry takes besides its key and value.
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 190
 _own: dict[str, str] = {}
 
 
@@ -76,6 +79,59 @@ def look_up(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left"
     return one.unionByName(two)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], text: int, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the texts in column ``text`` of one have at most ``most`` bytes (one longer text is alone)."""
+    for b in batches:
+        if b.nbytes <= most:
+            yield b
+            continue
+        size, at, held = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist(), 0, 0
+        for i, n in enumerate(size):
+            if held and held + n > most:
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        yield b.slice(at)
+
+
+class WorkerCache:
+    """Values by key in at most ``most`` bytes, counted: a young and an old half. A full young half becomes the old one."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.size = most // 2, 0
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def add(self, key, value) -> None:
+        self.new[key] = value
+        self.size += ENTRY_BYTES + len(key) + (len(value) if isinstance(value, bytes) else 0)
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that have to be added; the others are in ``new`` from then on, until the next call."""
+        if _cache.get("cache") is not self:
+            worker_cache(self)
+        if self.size > self.most:
+            self.old, self.new, self.size = self.new, {}, 0
+        lack = keys.difference(self.new)
+        if lack and self.old:
+            absent = lack.difference(self.old)  # unlike an intersection, this does not walk the dict
+            for k in lack - absent:
+                self.add(k, self.old[k])
+            lack = absent
+        return lack
+
+
+_cache: dict[str, WorkerCache] = {}
+
+
+def worker_cache(cache: WorkerCache | None = None, most: int | None = None) -> WorkerCache:
+    """The cache in use, a new one if none is given; any other of this Python process is emptied, so there is ever one."""
+    for other in _cache.values():
+        other.new, other.old, other.size = {}, {}, 0
+    _cache["cache"] = cache or WorkerCache(CACHE_BYTES if most is None else most)
+    return _cache["cache"]
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[str], bucket: str, value: str, out: str) -> DataFrame:
     """``out``: the sum of ``value`` over the rows of the group before this one, by ``bucket`` then ``order``.
 

@@ -48,10 +48,10 @@ class Dom:
 
 def parse(html: str) -> Dom:
     """A forgiving parse: unclosed and stray tags, truncated pages, raw-text elements, implied ends."""
-    dom = Dom(["html"], [-1], [""], [], [0])
+    dom, lower = Dom(["html"], [-1], [""], [], [0]), html.lower()
     tags, parents, attrs, link_chars = dom.tags, dom.parents, dom.attrs, dom.link_chars
     stack, held, silent, in_link, at, end = [0], [], 0, False, 0, len(html)
-    silent_tag = ""
+    silent_tag, opened, unclosed = "", 0, set()
 
     def flush() -> None:
         if held:
@@ -68,11 +68,14 @@ def parse(html: str) -> Dom:
             link_chars[stack[-1]] += len(piece)
 
     search = TAG.search
-    while at < end:
+    while at < end or silent:
         m = search(html, at)
+        if m is None and silent:  # never closed: back to where it began, and from now on the first end tag of its name counts
+            unclosed.add(silent_tag)
+            silent, at = 0, opened
+            continue
         if m is None:
-            if not silent:
-                text(html[at:])
+            text(html[at:])
             break
         if m.start() > at and not silent:
             text(html[at : m.start()])
@@ -82,10 +85,12 @@ def parse(html: str) -> Dom:
             continue
         name, closing, attr = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if at == end and html[-1] != ">":  # a tag that the page's end cuts off
+            if silent:
+                continue
             break
         if silent:
             if name == silent_tag:
-                silent += -1 if closing else (not attr.endswith("/"))
+                silent += -1 if closing else (not attr.endswith("/") and name not in unclosed)
             continue
         if name in SILENT:
             if closing:
@@ -97,8 +102,8 @@ def parse(html: str) -> Dom:
                 at = html.find(">", close.end() - 1) + 1 or end
             elif name == "head":  # ends at its end tag or at the first block
                 continue
-            elif not attr.endswith("/"):
-                silent, silent_tag = 1, name
+            elif not attr.endswith("/") and (name not in unclosed or lower.find(f"</{name}", at) >= 0):
+                silent, silent_tag, opened = 1, name, at
             continue
         if name not in BLOCKS:
             if name == "a":

@@ -97,13 +97,14 @@ def mix(docs: DataFrame, keep: list[str], entropy: float = ENTROPY, repeats: flo
     rows = running_sum(written(rows, "epochs"), ["source", "epoch"], ["_order"], "_bucket", "tokens", "_cum")
     rows = rows.withColumn("_at", F.col("epoch") * F.col("n_tokens") + F.col("_cum")).where("_at + tokens <= quota")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("budget") / F.lit(block_tokens)))
-    rows = rows.withColumn("block", F.floor(F.col("_at") * blocks / F.col("quota")).cast("int"))
+    # divided first: the product of tokens and blocks would leave the range of long integers at tens of terabytes
+    rows = rows.withColumn("block", F.least(blocks - 1, F.floor(F.col("_at").cast("double") / F.col("quota").cast("double") * blocks.cast("double"))).cast("int"))
     rows = rows.withColumn("place", F.row_number().over(W.partitionBy("block").orderBy("_order")) - F.lit(1))
     return rows.select("doc_id", "source", "tokens", F.col("weight"), "epoch", "block", "place", *keep)
 
 
 def thin(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, tokens, _row): ``_row`` tells rows with the same doc_id apart by their text's hash, 0 for lone ones."""
+    """(doc_id, source, tokens, _row): ``_row`` tells rows with the same doc_id apart by their text's hash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), estimated_tokens(text_of("text")).alias("tokens"), F.xxhash64(text_of("text")).alias("_row"))
 
 
@@ -114,18 +115,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture as documents: the columns of ``docs``, a row for each emitted copy; every emitted document whole."""
-    small = written(mix(written(thin(docs), "mix-input"), ["_row"], **options).groupBy("doc_id", "_row").agg(F.count("*").alias("_copies")), "mixed")
-    keyed = docs.withColumn("_row", F.xxhash64(text_of("text"))).withColumn("_doc", F.col("doc_id").cast("long"))
-    on = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))
-    same = keyed.join(small.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "_copies"), on)
+    """The mixture as documents: the columns of ``docs``, a row for each emitted copy; every emitted document whole.
+
+    A null text counts one token; null sources are one source; rows that repeat doc_id and text share their copies out;
+    an empty table gives an empty one. Rows travel as one struct, so columns may have any name.
+    """
+    small = written(mix(written(thin(docs), "mix-input"), ["_row"], **options).groupBy("doc_id", "_row").agg(F.count("*").alias("copies")), "mixed")
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d")]
+    small = small.select(*key, F.col("_row").alias("h"), "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of("text")).alias("h")).select(*key, "h", "row")
+    same = rows.join(small, ["none", "d", "h"])
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        each = same.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    else:  # rows that repeat share their copies out
-        w = W.partitionBy("_d", "_r")
-        share = F.floor((F.col("_copies") + F.count("*").over(w) - F.row_number().over(w.orderBy("_d"))) / F.count("*").over(w)).cast("int")
-        each = same.withColumn("_s", share).where("_s > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_s"))))
-    return each.select(*[each[c] for c in docs.columns])
+        each = same.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    else:
+        w = W.partitionBy("none", "d", "h")
+        share = F.floor((F.col("copies") + F.count("*").over(w) - F.row_number().over(w.orderBy("d"))) / F.count("*").over(w)).cast("int")
+        each = same.withColumn("s", share).where("s > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("s"))))
+    return each.select("row.*")
 
 
 def oracle() -> str:
@@ -142,5 +148,5 @@ q as (select w.source, n_tokens, budget, round(w, 12) as weight, cast(floor(roun
 e as (select q.*, u.epoch from q, lateral (select unnest(range(0, cast(ceil(quota / n_tokens::double) as bigint))) as epoch) u),
 o as (select d.doc_id, d.source, d.tokens, e.weight, e.n_tokens, e.budget, e.quota, cast(e.epoch as int) as epoch, md5('{SEED}:' || e.epoch || ':' || d.doc_id || ':0') as ord from d join e on d.source = e.source),
 s as (select *, epoch * n_tokens + coalesce(sum(tokens) over (partition by source, epoch order by ord rows between unbounded preceding and 1 preceding), 0) as pos from o),
-b as (select *, cast(floor(pos * greatest(1, ceil(budget / {float(BLOCK_TOKENS)})) / quota) as int) as block from s where pos + tokens <= quota)
+b as (select *, cast(least(greatest(1, ceil(budget / {float(BLOCK_TOKENS)})) - 1, floor(pos::double / quota::double * greatest(1, ceil(budget / {float(BLOCK_TOKENS)})))) as int) as block from s where pos + tokens <= quota)
 select doc_id, source, tokens, weight, epoch, block, cast(row_number() over (partition by block order by ord) - 1 as int) as place from b"""

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table, text_of, written
-from docmill.llm.tokens import encoder
+from docmill.llm.common import by_bytes, table, text_of, written
+from docmill.llm.tokens import encoder, family_of
 
 CAPACITY, END_ID = 4096, 1
 #: Bins open at once in a task, and sequences a task is meant to fill (its tail of open bins is then no part of note).
@@ -66,11 +66,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     ``docs`` are ignored. ``ids``: little-endian unsigned 32-bit ids.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.binary())] if keep_ids else []))
-    end = int(end_id).to_bytes(4, "little")
+    end, family = int(end_id).to_bytes(4, "little"), family_of(tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for b in batches:
+        encode = encoder(tokenizer, family).encode
+        for b in by_bytes(batches, 1):
             out: list[list] = [[] for _ in schema.names]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = encode(text.as_py()) + end
@@ -94,21 +94,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, max_open: int = OPEN_BINS,
     total = items.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, math.ceil(total / (capacity * sequences_per_task)))
     key = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(11))
-    rows = items.withColumn("_share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(tasks))).withColumn("_key", key)
-    rows = rows.repartition(tasks, "_share").sortWithinPartitions("_share", "_key", "doc_id", "piece", "start")
-    names = items.columns
+    share, names = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(tasks)).cast("int"), items.columns
+    rows = items.select(F.struct("*").alias("_row"), share.alias("_share"), key.alias("_key"))
+    # the share is the partition's own number: hashed again, some partitions would have several and others none
+    rows = rows.repartitionById(tasks, "_share").sortWithinPartitions("_share", "_key", "_row.doc_id", "_row.piece", "_row.start")
+    rows = rows.select("_row.*", F.col("_share"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, bins = None, None
         for b in batches:
             seq, off = [], []
-            for s, n in zip(b.column("_share").to_pylist(), b.column("length").to_pylist(), strict=True):
+            for s, n in zip(b.column(len(names)).to_pylist(), b.column(names.index("length")).to_pylist(), strict=True):
                 if s != share:
                     share, bins = s, BestFit(capacity, max_open)
                 i, o = bins.place(n)
                 seq.append((s << 32) | i)
                 off.append(o)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=[*names, "sequence_id", "offset"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, `offset` long"
     return rows.mapInArrow(fill, kind)

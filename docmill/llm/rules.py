@@ -1,14 +1,12 @@
 """Quality rules: distribution divergence from language references, with the base counts and limits.
 
-One Python pass turns each whole text into counts; references, divergences and verdicts are DataFrame expressions over those.
+One Python pass gives each whole text its counts, its histograms' distances from fixed references, and its verdict.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
+import math
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table, text_of, written
+from docmill.llm.common import by_bytes, table, text_of
 
 #: Common words by language; a histogram has a place for each of the listed words of any language, and one for all others.
 COMMON = {
@@ -36,13 +34,17 @@ WORDS = sorted({w for ws in (*COMMON.values(), MARKS) for w in ws.split()})
 CLASSES = ("lower", "upper", "letter", "digit", "space", "punctuation", "symbol", "other")
 SYMBOLS = "#*$%&|<>"
 SPACE = "\t\n\x0b\x0c\r "
-#: Base limits of the contract; words from which a histogram is judged; the most distance kept,
-#: and what a text of few words may lie farther off: this much over the root of its words.
-LEAST_WORDS, MOST_REPEATED, JUDGED_WORDS, CLASS_DISTANCE, WORD_DISTANCE, SHORT = 50, 50, 50, 0.25, 0.42, 0.4
-#: Share of a reference's distance from a text without common words that is kept in its language, and with all slack.
-WORD_SHARE, WORD_MOST = 0.85, 0.98
-#: A document's shares are summed in whole parts of this size.
-SHARE_UNIT = 2.0**32
+#: Base limits of the contract.
+LEAST_WORDS, MOST_REPEATED = 50, 50
+#: References, the same whatever is judged. Running text of any listed language has about these shares of the classes, and
+#: this share of listed words, which fall off with their rank in the list as ranks of words do.
+CLASS_SHARES = (0.775, 0.025, 0.0, 0.005, 0.168, 0.025, 0.001, 0.001)
+COMMON_SHARE, RANK_OFFSET = 0.42, 2
+#: Guards: characters from which classes are judged, and words from which more than the lack of common words is.
+JUDGED_CHARS, JUDGED_WORDS = 200, 100
+#: The most distance kept, what a short text may lie farther off (this much over the root of its words), and the share of
+#: a reference's distance from a text without common words that is never kept.
+CLASS_DISTANCE, WORD_DISTANCE, SHORT, WORD_MOST = 0.18, 0.42, 0.5, 0.98
 
 
 @lru_cache(maxsize=1)
@@ -92,116 +94,110 @@ def _encoded() -> list[bytes]:
     return [w.encode() for w in WORDS]
 
 
-def signature(text: str) -> int:
-    """The least hash of the text's word triples: exact copies always share it, near copies mostly do, others hardly ever."""
-    words = text.encode().split()
-    c = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    if len(c) < 3:
-        return zlib.crc32(b" ".join(words))
-    h = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return int((h ^ (h >> np.uint64(29))).min() >> np.uint64(1))
-
-
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` as k0, k1, …, then lang, the counts and the signature of every row; a null text has none of anything.
+@lru_cache(maxsize=16)
+def reference(lang: str) -> tuple[np.ndarray, np.ndarray | None, float]:
+    """The class and word shares of a language, and how far a text without common words lies from the latter.
 
-    Unlisted and null languages are ``und``. Kept columns pass through, so that verdicts need no join with the texts.
+    Of an unlisted language letters of any case and blanks are one class (scripts may have neither), and no words are known.
     """
-    names = [f"k{i}" for i in range(len(keep))]
-    lang = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("und") if "lang" in docs.columns else F.lit("und")
-    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], lang.alias("lang"), text_of("text").alias("text"))
-    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int64()]
-    text_at = keep.index("text") if "text" in keep else None
-    if text_at is not None:  # the text travels once
-        rows = rows.drop("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [(*counts(t), signature(t)) for t in (x.as_py() or "" for x in b.column(text_at if text_at is not None else len(keep) + 1))]
-            cols = list(zip(*made, strict=True)) if made else [[]] * 8
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep) + 1)), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=[*names, "lang", *COUNTS, "classes", "words", "signature"])
+    classes = np.array(CLASS_SHARES) / sum(CLASS_SHARES)
+    if lang not in COMMON:
+        return folded(classes), None, 0.0
+    own = COMMON[lang].split()
+    share = 1 / (np.arange(len(own)) + RANK_OFFSET)
+    words = np.zeros(len(WORDS) + 1)
+    for w, x in zip(own, COMMON_SHARE * share / share.sum(), strict=True):
+        words[WORDS.index(w)] += x
+    words[-1] = 1 - words.sum()
+    return classes, words, distance(np.eye(len(words))[-1], words)
 
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", " + ", ".join(f"{c} long" for c in COUNTS) + ", classes array<long>, words array<long>, signature long"
-    return rows.mapInArrow(run, kind)
 
+def folded(classes: np.ndarray) -> np.ndarray:
+    return np.array([classes[[0, 1, 2, 4]].sum(), *classes[[3, 5, 6, 7]]])
 
-def shares(counts: Column, total: Column) -> Column:
-    """``total`` should be a column: an expression would be evaluated anew for each element."""
-    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
 
+def distance(p: np.ndarray, q: np.ndarray) -> float:
+    """Jensen-Shannon distance, 0 to 1, of two distributions; only places where ``p`` has something need logarithms."""
+    at = np.flatnonzero(p)
+    a, b = p[at], q[at]
+    m = (a + b) / 2
+    some = b > 0
+    total = (a * np.log2(a / m)).sum() + (b[some] * np.log2(b[some] / m[some])).sum() + (1 - b.sum())
+    return math.sqrt(max(0.0, total / 2))
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, 0 to 1, of two distributions given as arrays."""
-    def half(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
 
-    total = F.aggregate(F.zip_with(p, q, lambda a, b: half(a, b) + half(b, a)), F.lit(0.0), lambda s, x: s + x)
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def references(counted: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_words): the mean shares over the documents of each language, those that fail the base limits aside.
+def judge(text: str, lang: str | None) -> tuple:
+    """The counts, base_failed, kept and the two distances (None: not judged) of one text.
 
-    Documents of one signature (copies and near copies) count once, and each as one document whatever its length, so
-    that neither a hot group of copies nor a long document becomes the reference. Sums are of whole numbers: retries
-    agree. At most one row a listed language and one for all others, so it may be broadcast.
+    Kept is a text that passes the base limits and lies near its language's references. Classes are judged from
+    JUDGED_CHARS characters on, words from JUDGED_WORDS on; a shorter text of a listed language fails by its words only
+    if it has next to none of the common ones. Words that lie too far from the language's own are held against every
+    other listed one's.
     """
-    once = counted.where(~base_failed()).groupBy("lang", "signature").agg(F.min(F.struct("n_words", "classes", "words")).alias("x")).select("lang", "x.*").withColumn("n_chars", _chars())
+    n, chars, symbols, dup, repeated, classes, words = counts(text)
+    failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
+    ref_classes, ref_words, none = reference(lang if lang in COMMON else "und")
+    far_classes = far_words = None
+    bad, more = failed, SHORT / math.sqrt(max(n, 1))
+    if len(text) >= JUDGED_CHARS:
+        shares = np.array(classes) / len(text)
+        far_classes = distance(shares if ref_words is not None else folded(shares), ref_classes)
+        bad |= far_classes > CLASS_DISTANCE + more
+    if ref_words is not None and n:
+        limit = min(WORD_DISTANCE + more, WORD_MOST * none) if n >= JUDGED_WORDS else WORD_MOST * none
+        shares = np.array(words) / n
+        far_words = distance(shares, ref_words)
+        if far_words >= limit:  # it may be in another listed language, whole or in part
+            far_words = min(distance(shares, reference(x)[1]) for x in COMMON)
+        bad |= far_words >= limit
+    return n, chars, symbols, dup, repeated, failed, not bad, far_classes, far_words
 
-    def total(name: str, i: int, n: str) -> Column:
-        return F.sum(F.round(F.col(name)[i] * F.lit(SHARE_UNIT) / F.col(n)).cast("long"))
 
-    sums = once.groupBy("lang").agg(
-        F.array(*[total("classes", i, "n_chars") for i in range(len(CLASSES))]).alias("classes"),
-        F.array(*[total("words", i, "n_words") for i in range(len(WORDS) + 1)]).alias("words"),
-    )
-    add = functools.partial(F.aggregate, initialValue=F.lit(0).cast("long"), merge=operator.add)
-    sums = sums.withColumn("n_classes", add("classes")).withColumn("n_words", add("words"))
-    return sums.select("lang", shares(F.col("classes"), F.col("n_classes")).alias("ref_classes"), shares(F.col("words"), F.col("n_words")).alias("ref_words"))
+def verdicts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """k0, k1, … (the columns ``keep``), the counts, base_failed, kept and the two distances of every row of ``docs``.
 
+    A row's verdict is its own: references are fixed, so no other row moves it and nothing is shuffled. A null text has
+    none of anything; a null or unlisted language, or no column ``lang``, is judged by folded classes alone; an empty
+    table gives an empty one; repeated rows are judged each.
+    """
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], _lang(docs).alias("lang"), text_of("text").alias("text"))
+    types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
-def _chars() -> Column:
-    """All characters: the sum of the few class counts, plain additions that generated code takes."""
-    return functools.reduce(operator.add, [F.col("classes")[i] for i in range(len(CLASSES))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, len(keep) + 1):
+            made = [judge(t.as_py(), x) for t, x in zip(b.column(len(keep) + 1), b.column(len(keep)).to_pylist(), strict=True)]
+            cols = list(zip(*made, strict=True)) if made else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*names, *RESULT])
 
+    kind = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema[: len(keep)]) + ", ".join(f"{c} {t}" for c, t in zip(RESULT, ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2, strict=True))
+    return rows.mapInArrow(run, kind)
 
-def base_failed() -> Column:
-    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
+RESULT = (*COUNTS, "base_failed", "kept", "class_distance", "word_distance")
 
-def word_limit(no_words: Column, more: Column) -> Column:
-    """The least word distance that is too far, for a reference that lies ``no_words`` from a text without common words."""
-    return F.least(WORD_SHARE * no_words + more, WORD_MOST * no_words)
 
+def _lang(docs: DataFrame) -> Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
-def verdicts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """k0, k1, … (the columns ``keep``), the counts, base_failed, kept and the two distances of every row of ``docs``.
 
-    A document is kept if it passes the base limits and either is too short to judge or lies near the reference of its
-    language in both histograms. In a listed language a text without common words is always too far, whatever its length;
-    unlisted languages have no list, so only the fixed distance holds there. A language without reference (all its
-    documents fail the base limits) judges nobody. An empty table gives an empty one; repeated rows are judged each.
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep; nothing is shuffled.
+
+    Null texts have no words, so fail; repeated rows are judged each; an empty table gives an empty one; columns of any
+    name and type pass as they are.
     """
-    counted = written(features(docs, keep), "counts")
-    none = F.concat(F.array_repeat(F.lit(0.0), len(WORDS)), F.array(F.lit(1.0)))
-    refs = written(references(counted).withColumn("no_words_distance", distance(none, F.col("ref_words"))), "references")
-    j = counted.join(F.broadcast(refs), "lang", "left")
-    j = j.withColumn("class_distance", distance(shares(F.col("classes"), _chars()), F.col("ref_classes"))).withColumn("word_distance", distance(shares(F.col("words"), F.col("n_words")), F.col("ref_words")))
-    more = F.lit(SHORT) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
-    words_far = (F.col("word_distance") > WORD_DISTANCE + more) | (F.col("lang").isin(*COMMON) & (F.col("word_distance") >= word_limit(F.col("no_words_distance"), more)))
-    far = (F.col("class_distance") > CLASS_DISTANCE + more) | words_far
-    ok = ~base_failed() & ((F.col("n_words") < JUDGED_WORDS) | ~F.coalesce(far, F.lit(False)))
-    return j.select(*[f"k{i}" for i in range(len(keep))], *COUNTS, base_failed().alias("base_failed"), ok.alias("kept"), "class_distance", "word_distance")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, at):
+            langs = [None] * b.num_rows if lang is None else b.column(lang).to_pylist()
+            yield b.filter(pa.array([judge(t.as_py() or "", x)[6] for t, x in zip(b.column(at), langs, strict=True)], pa.bool_()))
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep; nothing is shuffled but one row of counts for each group of copies."""
-    kept = verdicts(docs, docs.columns).where("kept")
-    return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,14 +164,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component, all columns: that with the smallest doc_id (then text hash); null doc_ids come last.
 
-    Of rows that repeat doc_id and text one stays. Texts are shuffled once, by doc_id and hash, which no group makes hot.
+    Of rows that repeat doc_id and text one stays; null texts are empty; an empty table gives an empty one. Rows travel
+    as one struct, so columns may have any name, and are shuffled once, by doc_id and hash, which no group makes hot.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     rows = written(fingerprints(keyed, hashed=True), "fingerprints")
-    best = _classes(rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).select("best.doc_id", "best.h").distinct()
-    marked = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(text_of("text")))
-    kept = marked.join(best.select(F.col("doc_id").alias("_bd"), F.col("h").alias("_bh")), F.col("_d").eqNullSafe(F.col("_bd")) & (F.col("_h") == F.col("_bh")), "left_semi")
-    return kept.dropDuplicates(["_d", "_h"]).select(*docs.columns)
+    best = _classes(rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).select("best.none", F.coalesce("best.doc_id", F.lit(0)).alias("d"), "best.h").distinct()
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(text_of("text")).alias("h"))
+    # both steps have the same keys, none of them null, so the second needs no exchange of its own
+    return marked.join(best, ["none", "d", "h"], "left_semi").dropDuplicates(["none", "d", "h"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

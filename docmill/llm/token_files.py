@@ -19,12 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import fresh, shuffle_partitions, table, text_of
-from docmill.llm.tokens import encoder
+from docmill.llm.common import by_bytes, fresh, shuffle_partitions, table, text_of
+from docmill.llm.tokens import encoder, family_of
 
 MAGIC = b"DMPLANE1"
 FOOTER = struct.Struct("<QQQQQQBBxxxxxx8s")
 BLOCK = 1 << 16
+#: Compressed bytes and documents after which a task begins another shard.
+SHARD_BYTES, SHARD_DOCS = 1 << 30, 1 << 22
 
 
 def to_planes(ids: np.ndarray, planes: int, kind: str) -> list[bytes]:
@@ -137,47 +139,53 @@ class Reader:
             held = held[n:]
 
 
-def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, kind: str = "byte", block: int = BLOCK) -> list[tuple[str, int, int]]:
+def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, kind: str = "byte", block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> list[tuple[str, int, int]]:
     """Write the ids of all texts in ascending doc_id order below ``path``; (file, documents, ids) of each shard, in order.
 
     A null text is empty, so has the end id alone; null doc_ids come first; rows that repeat a doc_id are ordered by
     text; an empty table writes no shard. Other columns are ignored. Ranges of doc_id (and of text hashes, so that one
     doc_id may span ranges) go to tasks; a task writes beside and then renames, so a retry replaces its own shard only.
-    The returned manifest has one row a task.
+    A task begins another shard after ``shard_bytes`` or SHARD_DOCS documents, so a shard's tables are bounded at any
+    size. The returned manifest has one row a shard; file names sort in the order of the documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(shuffle_partitions(spark), "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
-    end = int(end_id).to_bytes(4, "little")
+    end, family = int(end_id).to_bytes(4, "little"), family_of(tokenizer)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ctx = encoder(tokenizer), TaskContext.get()
+        enc, ctx = encoder(tokenizer, family), TaskContext.get()
         top = max(end_id, enc.tokenizer.get_vocab_size(with_added_tokens=True) - 1)
         fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        name = f"part-{ctx.partitionId():06d}"
-        beside = f"{root}/.{name}-{ctx.taskAttemptId()}"
-        writer = None
-        with fs.open_output_stream(beside) as sink:
-            for b in batches:
-                if b.num_rows and writer is None:
-                    writer = Writer(sink, top, kind, block)
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    writer.add(doc, enc.encode(text.as_py()) + end)
-            total = writer.close() if writer else 0
-        if writer is None:
-            fs.delete_file(beside)
-            return
-        fs.move(beside, f"{root}/{name}.ids")
-        yield pa.RecordBatch.from_arrays([pa.array([ctx.partitionId()], pa.int32()), pa.array([f"{path}/{name}.ids"]), pa.array([len(writer.docs)], pa.int64()), pa.array([total], pa.int64())], names=["part", "file", "docs", "ids"])
-
-    made = rows.mapInArrow(write, "part int, file string, docs long, ids long").collect()
-    return [(r.file, r.docs, r.ids) for r in sorted(made, key=lambda r: r.part)]
+        writer, files = None, []
+
+        def close() -> None:
+            total = writer.close()
+            writer.sink.close()
+            fs.move(f"{root}/.{files[-1][0]}-{ctx.taskAttemptId()}", f"{root}/{files[-1][0]}")
+            files[-1] += [len(writer.docs), total]
+
+        for b in by_bytes(batches, 1):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if writer is not None and (writer.at >= shard_bytes or len(writer.docs) >= SHARD_DOCS):
+                    close()
+                    writer = None
+                if writer is None:
+                    files.append([f"part-{ctx.partitionId():06d}-{len(files):05d}.ids"])
+                    writer = Writer(fs.open_output_stream(f"{root}/.{files[-1][0]}-{ctx.taskAttemptId()}"), top, kind, block)
+                writer.add(doc, enc.encode(text.as_py()) + end)
+        if writer is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{f}" for f, _, _ in files]), pa.array([d for _, d, _ in files], pa.int64()), pa.array([n for _, _, n in files], pa.int64())], names=["file", "docs", "ids"])
+
+    made = rows.mapInArrow(write, "file string, docs long, ids long").collect()
+    return sorted((r.file, r.docs, r.ids) for r in made)
 
 
 def read_files(spark: SparkSession, manifest: list[tuple[str, int, int]]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; ``start`` counts all ids before it."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    schema, names = "doc_id long, start long, n_tokens long, ids_crc32 long", ["doc_id", "start", "n_tokens", "ids_crc32"]
     if not manifest:
         return spark.createDataFrame([], schema)
     starts = np.cumsum([0, *[m[2] for m in manifest]])
@@ -193,7 +201,10 @@ def read_files(spark: SparkSession, manifest: list[tuple[str, int, int]]) -> Dat
                         for c, v in zip(out, (doc, at, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()))):
                             c.append(v)
                         at += len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(out[0]) >= 50_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
+                            out = [[], [], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
     return shards.mapInArrow(read, schema)
 

@@ -20,9 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import fresh, look_up, shuffle_partitions, table, text_of, written
+from docmill.llm.common import by_bytes, fresh, look_up, shuffle_partitions, table, text_of, written
 
-FRAME_BYTES = 1 << 20
+#: Bytes of records that go into a frame, and compressed bytes after which a task begins another bundle.
+FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 1 << 30
 SKIP_SEEK, SKIP_INDEX, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -46,13 +47,18 @@ def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return look_up(thin.select("page_id", "digest"), groups, ["digest"], "inner", "_rows").where("page_id <> refers_to or page_id is null").select("page_id", "digest", "refers_to").distinct()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, n: int, digest: str, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, digest: str, k: int = 0) -> str:
+    """Unique: rows that share page_id and payload are told apart by ``k``."""
+    return f"urn:page:{'null' if page_id is None else page_id}:{digest}" + (f":{k}" if k else "")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, n: int, digest: str, refers_to: int | None, k: int = 0) -> bytes:
     """One WARC/1.1 record; a revisit has no payload but tells its digest and size."""
     revisit = refers_to is not None
     clean = "".join(c for c in (url or "") if c.isprintable() and c != " ") or "urn:none"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_id(page_id, digest, k)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n}"]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT}"]
+        head += [f"WARC-Refers-To: <{record_id(refers_to, digest)}>", f"WARC-Profile: {REVISIT}"]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else payload)
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -76,7 +82,7 @@ class BundleWriter:
     def __init__(self, sink, frame_bytes: int = FRAME_BYTES, level: int = 3) -> None:
         self.sink, self.frame_bytes = sink, frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=level)
-        self.held, self.held_n, self.frames, self.index = [], 0, [], []
+        self.held, self.held_n, self.frames, self.index, self.written = [], 0, [], [], 0
 
     def add(self, name: str, data: bytes) -> None:
         if self.held and self.held_n + len(data) > self.frame_bytes:
@@ -88,6 +94,7 @@ class BundleWriter:
     def _frame(self) -> None:
         packed = self.zstd.compress(b"".join(self.held))
         self.sink.write(packed)
+        self.written += len(packed)
         self.frames.append((len(packed), self.held_n))
         self.held, self.held_n = [], 0
 
@@ -135,8 +142,10 @@ class BundleReader:
                 yield head, payload
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> list[str]:
-    """Write a record a row of ``pages`` (page_id, url, html) below ``path``; the bundles' files, one a task.
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> list[str]:
+    """Write a record a row of ``pages`` (page_id, url, html) below ``path``; the bundles' files.
+
+    A task begins another bundle after ``bundle_bytes``, so that a bundle and its index are bounded at any size.
 
     A null html is an empty payload; an empty table writes nothing; null page_ids are never the response of a group that
     has others, else that of theirs; of rows that repeat page_id and payload one is as decided above, the others revisit
@@ -155,25 +164,30 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, frame_byte
         ctx = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        name = f"part-{ctx.partitionId():06d}"
-        beside = f"{root}/.{name}-{ctx.taskAttemptId()}"
-        n, last = 0, None
-        with fs.open_output_stream(beside) as sink:
-            out = BundleWriter(sink, frame_bytes)
-            for b in batches:
-                for page, url, payload, digest, refers in zip(*(b.column(i) for i in range(5)), strict=True):
-                    page, digest, payload, refers = page.as_py(), digest.as_py(), payload.as_py(), refers.as_py()
-                    if (page, digest) == last and refers is None and len(payload) >= least_bytes and page is not None:
-                        refers = page
-                    last = (page, digest)
-                    out.add(f"urn:page:{page}", record(page, url.as_py(), payload, len(payload), digest, refers))
-                    n += 1
+        out, files, k, last = None, [], 0, None
+
+        def close() -> None:
             out.close()
-        if not n:
-            fs.delete_file(beside)
-            return
-        fs.move(beside, f"{root}/{name}.warc.zst")
-        yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}.warc.zst"])], names=["file"])
+            out.sink.close()
+            fs.move(f"{root}/.{files[-1]}-{ctx.taskAttemptId()}", f"{root}/{files[-1]}")
+
+        for b in by_bytes(batches, 2):
+            for page, url, payload, digest, refers in zip(*(b.column(i) for i in range(5)), strict=True):
+                page, digest, payload, refers = page.as_py(), digest.as_py(), payload.as_py(), refers.as_py()
+                k = k + 1 if (page, digest) == last else 0
+                last = (page, digest)
+                if k and refers is None and len(payload) >= least_bytes and page is not None:
+                    refers = page
+                if out is not None and out.written >= bundle_bytes:
+                    close()
+                    out = None
+                if out is None:
+                    files.append(f"part-{ctx.partitionId():06d}-{len(files):05d}.warc.zst")
+                    out = BundleWriter(fs.open_output_stream(f"{root}/.{files[-1]}-{ctx.taskAttemptId()}"), frame_bytes)
+                out.add(record_id(page, digest, k), record(page, url.as_py(), payload, len(payload), digest, refers, k))
+        if out is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{f}" for f in files])], names=["file"])
 
     return sorted(r.file for r in rows.mapInArrow(write, "file string").collect())
 
@@ -187,7 +201,8 @@ def read_archives(spark: SparkSession, files: list[str]) -> DataFrame:
     if not files:
         return spark.createDataFrame([], schema)
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    number = lambda x: None if x is None or x == "<urn:page:null>" else int(x[10:-1])
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    number = lambda x: None if x is None or x.startswith("<urn:page:null:") else int(x.split(":")[2])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +220,10 @@ def read_archives(spark: SparkSession, files: list[str]) -> DataFrame:
                             n, digest = int(head["X-Payload-Length"]), stated
                         for c, v in zip(out, (number(head["WARC-Record-ID"]), n, digest, head["WARC-Type"], number(head.get("WARC-Refers-To")))):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        if len(out[0]) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+                            out = [[] for _ in types]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files)).mapInArrow(read, schema)
 
