@@ -24,6 +24,9 @@ def canonical(c: Column, kind: DataType) -> Column:
         return F.when(c.isNotNull(), F.struct(*[canonical(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
     if isinstance(kind, ArrayType):
         return F.transform(c, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, (DoubleType, FloatType)):  # a variant writes a whole number without fraction
+        whole = (c == F.floor(c)) & (F.abs(c) < 9e15)
+        return F.when(whole, F.parse_json(c.cast("long").cast("string"))).otherwise(F.parse_json(c.cast("string")))
     if isinstance(kind, MapType):
         return F.map_from_entries(F.sort_array(F.map_entries(F.transform_values(c, lambda _, v: canonical(v, kind.valueType)))))
     return c
@@ -55,10 +58,15 @@ def verified(df: DataFrame, stored: Column, columns: list[str] | None = None) ->
 
 
 def merged(left: DataFrame, right: DataFrame, key: str = "_id_") -> DataFrame:
-    """Shallow merge by key: the right document's given fields win."""
-    l, r = left.alias("l"), right.alias("r")  # noqa: E741
+    """Shallow merge by key: where the right document is, each of its fields wins, null or not."""
+    l, r = left.alias("l"), right.withColumn("__there", F.lit(True)).alias("r")  # noqa: E741
     names = [*left.columns, *[c for c in right.columns if c not in left.columns]]
-    pick = [F.coalesce(*[F.col(f"{s}.`{n}`") for s, d in (("r", right), ("l", left)) if n in d.columns]).alias(n) for n in names]
+    def one(n: str) -> Column:
+        if n not in right.columns or n not in left.columns:
+            return F.col(f"{'r' if n in right.columns else 'l'}.`{n}`")
+        return F.when(F.col("r.__there"), F.col(f"r.`{n}`")).otherwise(F.col(f"l.`{n}`"))
+
+    pick = [one(n).alias(n) for n in names]
     return l.join(r, F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")), "full").select(*pick)
 
 
@@ -74,13 +82,33 @@ def equal_documents(a: str, b: str, columns: list[str]) -> Column:
 
 
 def difference(old: DataFrame, new: DataFrame, key: str = "_id_") -> DataFrame:
-    """(key, change, fields): added and removed documents, and modified ones with the names of the changed fields."""
+    """(key, change, fields, old, new): added and removed documents, and modified ones with the names of the changed
+    fields and their values before and after, as JSON texts by field. Null keys match each other.
+    """
     both = [c for c in old.columns if c in new.columns and c != key and c not in SYSTEM]
     o, n = old.alias("o").withColumn("_o", F.lit(True)), new.alias("n").withColumn("_n", F.lit(True))
-    j = o.alias("o").join(n.alias("n"), F.col(f"o.`{key}`") == F.col(f"n.`{key}`"), "full")
+    j = o.alias("o").join(n.alias("n"), F.col(f"o.`{key}`").eqNullSafe(F.col(f"n.`{key}`")), "full")
     changed = F.filter(F.array(*[F.when(~F.col(f"o.`{c}`").eqNullSafe(F.col(f"n.`{c}`")), F.lit(c)) for c in both]), lambda x: x.isNotNull())
     change = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.size(changed) > 0, "modified")
-    return j.select(F.coalesce(F.col(f"n.`{key}`"), F.col(f"o.`{key}`")).alias(key), change.alias("change"), F.when(change == "modified", changed).alias("fields")).where("change is not null")
+    return j.select(F.coalesce(F.col(f"n.`{key}`"), F.col(f"o.`{key}`")).alias(key), change.alias("change"), F.when(change == "modified", changed).alias("fields"), *[F.when(change == "modified", _values(side, both)).alias(name) for side, name in (("o", "old"), ("n", "new"))]).where("change is not null")
+
+
+def _values(side: str, fields: list[str]) -> Column:
+    """The changed fields of one side, as a map from name to JSON text (null: null)."""
+    pairs = [F.when(~F.col(f"o.`{c}`").eqNullSafe(F.col(f"n.`{c}`")), F.struct(F.lit(c).alias("k"), F.to_json(F.struct(F.col(f"{side}.`{c}`").alias("v"))).alias("v"))) for c in fields]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
+
+
+def applied(old: DataFrame, diff: DataFrame, new: DataFrame, key: str = "_id_") -> DataFrame:
+    """``old`` after a difference: removed documents go, modified ones take the changed fields' new values from the
+    difference, added ones come from ``new``.
+    """
+    d = diff.select(F.col(key).alias("__k"), "change", F.col("new").alias("__new"))
+    j = old.join(d, F.col(key).eqNullSafe(F.col("__k")), "left").where("change is null or change <> 'removed'")
+    kinds = {f.name: f.dataType.simpleString() for f in old.schema.fields}
+    pick = [F.when(F.array_contains(F.map_keys("__new"), c), F.from_json(F.col("__new")[c], f"v {kinds[c]}")["v"]).otherwise(F.col(f"`{c}`")).alias(c) if c != key else F.col(f"`{c}`") for c in old.columns]
+    more = new.join(diff.where("change = 'added'").select(F.col(key).alias("__k")), F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    return j.select(*pick).unionByName(more.select(*old.columns), allowMissingColumns=True)
 
 
 # -- plain documents --------------------------------------------------------------------------------------------------

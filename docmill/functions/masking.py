@@ -27,6 +27,8 @@ class Policy:
     max_length: int = 0
     secret: str = ""
     exempt: tuple[str, ...] = ("_metadata_", "_id_")
+    #: Another scope's policy, whose mask holds where it is the more restrictive.
+    both: Policy | None = None
 
     def of(self, path: str) -> str:
         if path.split(".")[0] in self.exempt:
@@ -34,7 +36,8 @@ class Policy:
         leaf = path.split(".")[-1].removesuffix("[]")
         if path in self.fields or leaf in self.fields:
             return self.fields.get(path, self.fields.get(leaf, self.default))
-        return next((p for r, p in self.patterns if re.search(r, leaf)), self.default)
+        found = next((p for r, p in self.patterns if re.search(r, leaf)), self.default)
+        return max(found, self.both.of(path), key=ORDER.index) if self.both else found
 
     def with_stock(self) -> Policy:
         return replace(self, patterns=[*self.patterns, *STOCK])
@@ -42,7 +45,7 @@ class Policy:
     def combined(self, other: Policy) -> Policy:
         """Both policies' scopes: for a field that both name the more restrictive mask holds."""
         both = {k: max(self.of(k), other.of(k), key=ORDER.index) for k in {*self.fields, *other.fields}}
-        return replace(self, fields=both, patterns=[*self.patterns, *other.patterns], default=max(self.default, other.default, key=ORDER.index))
+        return replace(self, fields=both, both=other if self.both is None else self.both.combined(other))
 
 
 def redact(c: Column) -> Column:

@@ -261,7 +261,8 @@ class Compiler:
         else:
             df, order, names = self._rows(df, p, sort, q.get("distinct"), scope, depth, alias, outer)
         if page.get("include_total") and depth == 0 and parent is None:
-            df = df.withColumn(TOTAL, F.count(F.lit(1)).over(W.partitionBy()))
+            # a count of its own, joined as one row: a window over all rows would bring them to one task
+            df = df.crossJoin(F.broadcast(df.select(F.lit(1)).agg(F.count(F.lit(1)).alias(TOTAL))))
         if q.get("distinct") is True or (q.get("distinct") or {}) != {} and isinstance(q["distinct"], dict) and q["distinct"].get("is_distinct"):
             order = [o for o in order if o[0] in names]
             df = df.select(*[F.col(f"`{c}`") for c in names]).distinct()
@@ -294,7 +295,8 @@ class Compiler:
             keys = [scope.resolve(f) for f in by]
             first = [scope.resolve(s["field"]).desc() if s.get("direction") == "desc" else scope.resolve(s["field"]).asc() for s in sort]
             rest = [F.col(f"`{a}`.`{c}`") for a, cs in scope.sources.items() for c, t in cs.items() if not isinstance(t, _UNORDERED)]
-            n = F.row_number().over(W.partitionBy(*keys).orderBy(*first, *rest))
+            # ordered by the query's order and a hash of the row; a row's other columns are no part of the sort
+            n = F.row_number().over(W.partitionBy(*keys).orderBy(*first, F.xxhash64(*rest)))
             df = df.withColumn("__n", n).where("__n = 1").drop("__n")
         computed = [self.computed(c, scope, depth) for c in p.get("computed") or []]
         if p.get("include"):

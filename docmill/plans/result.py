@@ -27,6 +27,8 @@ class Result:
     limit: int | None = None
     offset: int = 0
     meta: dict = field(default_factory=dict)
+    #: Of a cursor page, the rows from its cursor on.
+    after: DataFrame | None = None
 
     @cached_property
     def total(self) -> int:
@@ -36,12 +38,15 @@ class Result:
     def count(self) -> int:
         if self.limit is None:
             return self.total
+        if self.after is not None:
+            return self.after.limit(self.limit).count()
         return max(0, min(self.limit, self.total - self.offset))
 
     @property
     def page(self) -> Page:
         size = self.limit or max(self.total, 1)
-        return Page(self.offset // size + 1, size, self.count, self.total, -(-self.total // size))
+        number = self.offset // size + 1 if self.after is None else (self.total - self.after.count()) // size + 1
+        return Page(number, size, self.count, self.total, -(-self.total // size))
 
     def stream(self) -> Iterator[Row]:
         """Rows one by one; the driver holds a partition at a time."""

@@ -1,13 +1,15 @@
 """Managed collections: copy-on-write tables of Parquet versions with updates, deletes, uniqueness and a change log.
 
-A version is a folder; a manifest names the active one and is replaced by an atomic rename, together with the change
-rows of the same commit. Readers see the version that was active when they asked.
+A version is a list of data folders. A commit is one file, named by its number and made by a rename that does not
+replace: of two writers of one number the second fails. It holds the list and the commit's change rows, so both become
+visible at once; the change log is the commit files themselves. Readers see the version that was active when they asked.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import secrets
 import shutil
 import time
@@ -115,13 +117,16 @@ class ManagedTable:
     def _manifest(self) -> dict:
         if self._staged is not None:
             return self._staged
-        where = f"{self.root}/manifest.json"
-        if self.fs.get_file_info(where).type == pafs.FileType.NotFound:
+        folder = f"{self.root}/commits"
+        if self.fs.get_file_info(folder).type == pafs.FileType.NotFound:
             return {"commit": 0, "data": None, "schema": None, "log": []}
-        with self.fs.open_input_file(where) as f:
-            return json.loads(f.read())
+        last = max((i.path for i in self.fs.get_file_info(pafs.FileSelector(folder)) if re.fullmatch(r"\d{12}\.json", i.base_name)), default=None)
+        if last is None:
+            return {"commit": 0, "data": None, "schema": None, "log": []}
+        with self.fs.open_input_file(last) as f:
+            return json.loads(f.read().split(b"\n", 1)[0])["state"]
 
-    def _commit(self, old: dict, data: str, events: list[dict]) -> None:
+    def _commit(self, old: dict, data: list[str], events: list[dict]) -> None:
         new = {**old, "commit": old["commit"] + 1, "data": data}
         if self._staged is not None:
             self._staged = new
@@ -130,21 +135,28 @@ class ManagedTable:
         self._write(old, new, events)
 
     def _write(self, old: dict, new: dict, events: list[dict]) -> None:
-        self.fs.create_dir(self.root, recursive=True)
-        if events:
-            self.fs.create_dir(f"{self.root}/changes", recursive=True)
-            beside = f"{self.root}/.changes-{new['commit']:012d}.json"
-            with self.fs.open_output_stream(beside) as f:
-                f.write("".join(json.dumps({**e, "commit": new["commit"]}) + "\n" for e in events).encode())
-        where = f"{self.root}/manifest.json"
-        current = ManagedTable._manifest(ManagedTable(self.spark, self.path))
-        if current["commit"] != old["commit"]:
-            raise Conflict(f"{self.name}: commit {current['commit']} came before")
-        with self.fs.open_output_stream(f"{where}.new") as f:
-            f.write(json.dumps(new).encode())
-        self.fs.move(f"{where}.new", where)
-        if events:
-            self.fs.move(beside, f"{self.root}/changes/{new['commit']:012d}.json")
+        """One file for the state and its events. A local file is linked, which fails if the number is taken; other file
+        systems are asked first, which leaves a moment between the question and the move.
+        """
+        folder = f"{self.root}/commits"
+        self.fs.create_dir(folder, recursive=True)
+        where, beside = f"{folder}/{new['commit']:012d}.json", f"{folder}/.{uuid7()}"
+        lines = [{"state": new}, *[{**e, "commit": new["commit"]} for e in events]]
+        with self.fs.open_output_stream(beside) as f:
+            f.write("".join(json.dumps(x) + "\n" for x in lines).encode())
+        try:
+            if isinstance(self.fs, pafs.LocalFileSystem):
+                os.link(beside, where)
+            elif self.fs.get_file_info(where).type != pafs.FileType.NotFound:
+                raise FileExistsError(where)
+            else:
+                self.fs.move(beside, where)
+                return
+        except FileExistsError:
+            raise Conflict(f"{self.name}: commit {new['commit']} came before") from None
+        finally:
+            if self.fs.get_file_info(beside).type != pafs.FileType.NotFound:
+                self.fs.delete_file(beside)
 
     def _save(self, df: DataFrame) -> str:
         data = f"data-{uuid7()}"
@@ -173,7 +185,7 @@ class ManagedTable:
         m = self._manifest()
         if m["data"] is None:
             raise QueryError("COLLECTION", f"{self.name} holds nothing yet")
-        return self.spark.read.parquet(f"{self.path}/{m['data']}")
+        return self.spark.read.option("mergeSchema", len(m["data"]) > 1).parquet(*[f"{self.path}/{d}" for d in m["data"]])
 
     def find(self, id_: str) -> DataFrame:
         return self.df().where(F.col("_id_") == id_)
@@ -209,13 +221,13 @@ class ManagedTable:
         saved = self._save(rows)  # ids are drawn once
         rows = self.spark.read.parquet(f"{self.path}/{saved}")
         n = rows.count()
-        if old["data"] is not None:
-            both = self.df().unionByName(rows, allowMissingColumns=True)
-            self._check_unique(both)
-            saved = self._save(both)
-        else:
-            self._check_unique(rows)
-        self._commit(old, saved, [self._event("document:create:success", count=n)])
+        self._check_unique(rows)
+        if old["data"] is not None:  # the rows that are there are not rewritten; only the new keys are looked up among them
+            before = self.df()
+            for k in ["_id_", *self.unique]:
+                if k in before.columns and not before.select(k).join(rows.select(k).where(F.col(k).isNotNull()), k, "left_semi").isEmpty():
+                    raise Conflict(f"{self.name}: {k} is not unique")
+        self._commit(old, [*(old["data"] or []), saved], [self._event("document:create:success", count=n)])
         return n
 
     def update(self, filters: dict | None, set_: dict[str, Any] | None = None, compute: dict[str, Any] | None = None, version: float | None = None) -> DataFrame:
@@ -232,14 +244,14 @@ class ManagedTable:
             compute |= {"_metadata_.version": {"function": "ADD", "arguments": [{"type": "field", "field": "_metadata_.version"}, 1]}}
             set_ = dict(set_ or {}) | {"_metadata_.updated": str(time.time_ns())}
         rows, hit = matches(before, filters, self.name, self.catalog)
-        touched = [r[0] for r in rows.where(hit).select("_id_").limit(100_001).collect()] if "_id_" in before.columns else []
+        ids = rows.where(hit).select("_id_")
         after = updated(before, set_, compute, filters, self.name, self.catalog)
         saved = self._save(after)
         new = self.spark.read.parquet(f"{self.path}/{saved}")
         if any(k in self.unique for k in [*(set_ or {}), *compute]):
             self._check_unique(new)
-        self._commit(old, saved, [self._event("document:update:success", count=len(touched))])
-        return new.where(F.col("_id_").isin(touched)) if len(touched) <= 100_000 else new.join(rows.where(hit).select("_id_"), "_id_", "left_semi")
+        self._commit(old, [saved], [self._event("document:update:success", count=ids.count())])
+        return new.join(ids, "_id_", "left_semi")
 
     def replace(self, id_: str, document: DataFrame) -> None:
         """Another document in place of the one with this id."""
@@ -248,14 +260,14 @@ class ManagedTable:
         one = document.withColumn("_id_", F.lit(id_))
         saved = self._save(kept.unionByName(self._enriched(one), allowMissingColumns=True))
         self._check_unique(self.spark.read.parquet(f"{self.path}/{saved}"))
-        self._commit(old, saved, [self._event("document:update:success", count=1, document=id_)])
+        self._commit(old, [saved], [self._event("document:update:success", count=1, document=id_)])
 
     def delete(self, filters: dict | None, unsafe: bool = False) -> int:
         old, before = self._manifest(), self.df()
         kept = remaining(before, filters, unsafe, self.name, self.catalog)
         saved = self._save(kept)
         n = before.count() - self.spark.read.parquet(f"{self.path}/{saved}").count()
-        self._commit(old, saved, [self._event("document:delete:success", count=n)])
+        self._commit(old, [saved], [self._event("document:delete:success", count=n)])
         return n
 
     # -- schema changes -----------------------------------------------------------------------------------------------
@@ -263,7 +275,7 @@ class ManagedTable:
     def rewrite(self, step, event: str = "collection:update:success") -> None:
         """Replace the data by ``step`` of them: added, dropped and renamed columns, row transformers."""
         old = self._manifest()
-        self._commit(old, self._save(step(self.df())), [self._event(event)])
+        self._commit(old, [self._save(step(self.df()))], [self._event(event)])
 
     def add_column(self, name: str, kind: str, default: Any = None) -> None:
         self.rewrite(lambda d: d.withColumn(name, F.lit(default).cast(kind)))
@@ -274,10 +286,10 @@ class ManagedTable:
     def rename_column(self, old: str, new: str) -> None:
         self.rewrite(lambda d: d.withColumnRenamed(old, new))
 
-    def rollback(self, data: str) -> None:
+    def rollback(self, data: str | list[str]) -> None:
         """Make an earlier version active."""
-        old = self._manifest()
-        self._commit(old, data, [self._event("collection:rollback:success", data=data)])
+        data = [data] if isinstance(data, str) else data
+        self._commit(self._manifest(), data, [self._event("collection:rollback:success", data=",".join(data))])
 
     def drop(self) -> None:
         if isinstance(self.fs, pafs.LocalFileSystem):
@@ -285,11 +297,11 @@ class ManagedTable:
         else:
             self.fs.delete_dir(self.root)
 
-    def vacuum(self) -> int:
-        """Delete versions that are not active; the number deleted."""
-        active, n = self._manifest()["data"], 0
+    def vacuum(self, older_than_s: float = 7 * 24 * 3600) -> int:
+        """Delete data folders of no active version that are older than any writer may still be at work; the number deleted."""
+        active, n = self._manifest()["data"] or [], 0
         for info in self.fs.get_file_info(pafs.FileSelector(self.root)):
-            if info.base_name.startswith("data-") and info.base_name != active:
+            if info.base_name.startswith("data-") and info.base_name not in active and int(info.base_name[5:17], 16) / 1000 < time.time() - older_than_s:
                 self.fs.delete_dir(info.path)
                 n += 1
         return n

@@ -21,16 +21,17 @@ def pattern(column: Column, subscription: str) -> Column:
 
 def changes(spark: SparkSession, path: str, subscription: str = "*", after: int | str | None = None) -> DataFrame:
     """All changes of a collection, from a cursor on: a time in nanoseconds or the id of the last event seen."""
-    df = spark.read.schema(SCHEMA).json(f"{path}/changes")
+    df = spark.read.schema(SCHEMA).json(f"{path}/commits")
     return _chosen(df, subscription, after)
 
 
 def change_stream(spark: SparkSession, path: str, subscription: str = "*", after: int | str | None = None) -> DataFrame:
     """The same as a stream; each commit's changes come in one file, so in one batch."""
-    return _chosen(spark.readStream.schema(SCHEMA).json(f"{path}/changes"), subscription, after)
+    return _chosen(spark.readStream.schema(SCHEMA).json(f"{path}/commits"), subscription, after)
 
 
 def _chosen(df: DataFrame, subscription: str, after: int | str | None) -> DataFrame:
+    df = df.where(F.col("id").isNotNull())  # a commit's first line is its state
     df = df.where(pattern(F.col("type"), subscription))
     if after is not None:  # ids are ordered by time
         df = df.where(F.col("at") > after if isinstance(after, int) else F.col("id") > after)
