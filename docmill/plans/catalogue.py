@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import masking
 from docmill.operators.document_set import DocumentSet
+from docmill.plans import catalogue_more
 from docmill.plans.builder import Projection, QueryBuilder, call, field
 from docmill.plans.builder import QueryBuilder as Q
 from docmill.sources.catalog import Catalog
@@ -177,8 +178,8 @@ MADE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     built = {k: (lambda spark, sf_dir, q=q: catalog(spark, sf_dir).frame(q())) for k, (q, _) in BUILT.items()}
-    return built | {k: f for k, (f, _) in MADE.items()}
+    return built | {k: f for k, (f, _) in MADE.items()} | catalogue_more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in BUILT.items()} | {k: sql for k, (_, sql) in MADE.items() if sql}
+    return {k: sql for k, (_, sql) in BUILT.items()} | {k: sql for k, (_, sql) in MADE.items() if sql} | catalogue_more.oracle_sql()
