@@ -98,7 +98,7 @@ def mix(docs: DataFrame, keep: list[str], entropy: float = ENTROPY, repeats: flo
     rows = rows.withColumn("_at", F.col("epoch") * F.col("n_tokens") + F.col("_cum")).where("_at + tokens <= quota")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("budget") / F.lit(block_tokens)))
     # divided first: the product of tokens and blocks would leave the range of long integers at tens of terabytes
-    rows = rows.withColumn("block", F.least(blocks - 1, F.floor(F.col("_at").cast("double") / F.col("quota").cast("double") * blocks.cast("double"))).cast("int"))
+    rows = rows.withColumn("block", F.least(blocks - 1, F.floor(F.col("_at").cast("double") / F.col("quota").cast("double") * blocks.cast("double"))).cast("long"))
     rows = rows.withColumn("place", F.row_number().over(W.partitionBy("block").orderBy("_order")) - F.lit(1))
     return rows.select("doc_id", "source", "tokens", F.col("weight"), "epoch", "block", "place", *keep)
 
@@ -148,5 +148,5 @@ q as (select w.source, n_tokens, budget, round(w, 12) as weight, cast(floor(roun
 e as (select q.*, u.epoch from q, lateral (select unnest(range(0, cast(ceil(quota / n_tokens::double) as bigint))) as epoch) u),
 o as (select d.doc_id, d.source, d.tokens, e.weight, e.n_tokens, e.budget, e.quota, cast(e.epoch as int) as epoch, md5('{SEED}:' || e.epoch || ':' || d.doc_id || ':0') as ord from d join e on d.source = e.source),
 s as (select *, epoch * n_tokens + coalesce(sum(tokens) over (partition by source, epoch order by ord rows between unbounded preceding and 1 preceding), 0) as pos from o),
-b as (select *, cast(least(greatest(1, ceil(budget / {float(BLOCK_TOKENS)})) - 1, floor(pos::double / quota::double * greatest(1, ceil(budget / {float(BLOCK_TOKENS)})))) as int) as block from s where pos + tokens <= quota)
+b as (select *, cast(least(greatest(1, ceil(budget / {float(BLOCK_TOKENS)})) - 1, floor(pos::double / quota::double * greatest(1, ceil(budget / {float(BLOCK_TOKENS)})))) as bigint) as block from s where pos + tokens <= quota)
 select doc_id, source, tokens, weight, epoch, block, cast(row_number() over (partition by block order by ord) - 1 as int) as place from b"""
