@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions import coerce
 from docmill.functions import docs as D
 from docmill.functions import masking, scalar
 from docmill.functions.json_schema import json_schema_errors
@@ -251,6 +252,28 @@ def json_patch(spark, sf_dir):
     return D.patched(t, "doc", [{"op": "add", "path": "/a", "value": "b"}]).withColumn("doc", F.regexp_replace("doc", " ", ""))
 
 
+@made("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as i, try_cast(json_extract_string(props, '$.k') as double) as f, true as b, cast(cast(event_id as bigint) as varchar) as s from events")
+def coerce_values(spark, sf_dir):
+    e = _catalog(spark, sf_dir).table("events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    text, number = S.T.StringType(), S.T.DoubleType()
+    return e.select("event_id", coerce.to_int(F.col("k"), text).alias("i"), coerce.to_float(F.col("k"), text).alias("f"), coerce.to_bool(F.lit(" TRUE "), text).alias("b"), coerce.to_string(F.col("event_id").cast("double"), number).alias("s"))
+
+
+@made("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as a, strftime(o_orderdate, '%Y-%m-%d') as b from orders")
+def coerce_times(spark, sf_dir):
+    o = _catalog(spark, sf_dir).table("orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"))
+    text = S.T.StringType()
+    layout, seconds = F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss"), F.unix_seconds("t").cast("string")
+    return o.select("o_orderkey", *[F.date_format(coerce.to_time(x, text), "yyyy-MM-dd").alias(n) for n, x in (("a", layout), ("b", seconds))])
+
+
+@made("select s_suppkey from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey = 1 union all select null)")
+def subq_not_in_null(spark, sf_dir):
+    cat = _catalog(spark, sf_dir)
+    cat.register("some", lambda: cat.table("nation").where("n_regionkey = 1").select(F.col("n_nationkey")).union(spark.sql("select cast(null as bigint)")))
+    return cat.frame(Q().from_("supplier").where("s_nationkey").not_in(Q().from_("some")).select().include("s_suppkey").end())
+
+
 # -- masks --------------------------------------------------------------------------------------------------------------
 
 

@@ -111,6 +111,8 @@ class Compiler:
             return field.isNotNull() if op == "exists" else field.isNull()
         if op in ("in", "nin"):
             if ir.value_kind(v) == "subquery":
+                if op == "nin":
+                    return self._not_in(c["field"], v["query"], scope, depth)
                 found = field.isin(self._query(v["query"], scope, depth + 1))
             else:
                 found = field.isin(*[self.value(x, scope, depth) if isinstance(x, dict) else F.lit(x) for x in v]) if v else F.lit(False)
@@ -130,6 +132,17 @@ class Compiler:
         out = compare(field, value)
         return F.coalesce(out, F.lit(False)) if self.doc_mode else out
 
+    def _not_in(self, path: str, query: dict, scope: Scope, depth: int) -> Column:
+        """NOT IN with its three values, as an equality join: Spark's own null-aware anti join broadcasts any right side.
+
+        One value tells whether the right side is empty (null), has a null (true) or has none (false).
+        """
+        field, inner = scope.resolve(path), Scope(scope).resolve(path)
+        right = lambda: self._query(query, scope, depth + 1).toDF("__v")
+        nulls = right().select(F.max(F.col("__v").isNull())).scalar()
+        there = right().where(F.col("__v") == inner).exists()
+        return F.when(nulls.isNull(), True).when(there, False).when(field.isNotNull() & ~nulls, True)
+
     def filter(self, f: dict, scope: Scope, depth: int = 0) -> Column:
         kind, body = ir.filter_kind(f)
         if kind == "condition":

@@ -190,6 +190,31 @@ class ManagedTable:
     def find(self, id_: str) -> DataFrame:
         return self.df().where(F.col("_id_") == id_)
 
+    def read_as(self, fields: dict[str, str], filters: dict | None = None) -> DataFrame:
+        """The documents in another shape: ``fields`` from name to path; ids and metadata always come along."""
+        rows, hit = matches(self.df(), filters, self.name, self.catalog)
+        system = [c for c in ("_id_", "_metadata_") if c in rows.columns and c not in fields]
+        return rows.where(hit).select(*system, *[F.col(p).alias(n) for n, p in fields.items()])
+
+    def create_from(self, rows: DataFrame, fields: dict[str, str]) -> int:
+        """Insert documents given in another shape: ``fields`` from the shape's name to the document's field."""
+        return self.insert(rows.select(*[F.col(f"`{n}`").alias(to) for n, to in fields.items()], *[c for c in ("_id_", "_metadata_") if c in rows.columns and c not in fields]))
+
+    def update_from(self, rows: DataFrame, fields: dict[str, str]) -> int:
+        """Update by ``_id_`` the fields that a shape has; other fields stay, and ids that are not there do nothing."""
+        old, before = self._manifest(), self.df()
+        new = rows.select(F.col("_id_").alias("__id"), F.lit(True).alias("__hit"), *[F.col(f"`{n}`").cast(before.schema[to].dataType).alias(f"__{to}") for n, to in fields.items()])
+        j = before.join(new, F.col("_id_") == F.col("__id"), "left")
+        now = {to: F.when(F.col("__hit"), F.col(f"__{to}")).otherwise(F.col(f"`{to}`")) for to in fields.values()}
+        if "_metadata_" in before.columns:
+            kept = F.col("_metadata_")
+            now["_metadata_"] = F.when(F.col("__hit"), kept.withField("version", kept["version"] + 1).withField("updated", F.lit(str(time.time_ns())))).otherwise(kept)
+        saved = self._save(j.select(*[now.get(c, F.col(f"`{c}`")).alias(c) for c in before.columns]))
+        self._check_unique(self.spark.read.parquet(f"{self.path}/{saved}"))
+        n = before.join(new, F.col("_id_") == F.col("__id"), "left_semi").count()
+        self._commit(old, [saved], [self._event("document:update:success", count=n)])
+        return n
+
     # -- writes -------------------------------------------------------------------------------------------------------
 
     def _event(self, kind: str, **more: Any) -> dict:

@@ -164,3 +164,22 @@ def test_sets_and_io(spark, tmp_path):
     assert IO.to_json(s.df.where("id = 3"), canonical=True).first().json == '{"id":3,"k":null,"v":20}'
     assert IO.rows(spark, ['{"a": 1, "b": {"c": "x"}}']).first().b.c == "x"
     assert IO.generated(spark, SCHEMA, 5).count() == 5 and IO.generated(spark, SCHEMA, 5).collect() == IO.generated(spark, SCHEMA, 5).collect()
+
+
+def test_shapes_and_commits(spark, tmp_path):
+    t = ManagedTable(spark, str(tmp_path / "goods"), unique=["name"])
+    assert t.create_from(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "label string, cost double"), {"label": "name", "cost": "price"}) == 2
+    assert t.insert(spark.createDataFrame([("c", 3.0)], "name string, price double")) == 1
+    assert len(t._manifest()["data"]) == 2 and t.df().count() == 3
+    with pytest.raises(Conflict):
+        t.insert(spark.createDataFrame([("a", 9.0)], "name string, price double"))
+    shaped = t.read_as({"label": "name"}, {"field": "price", "operator": "gt", "value": 1})
+    assert set(shaped.columns) == {"_id_", "_metadata_", "label"} and shaped.count() == 2
+    assert t.update_from(shaped.selectExpr("_id_", "upper(label) as label"), {"label": "name"}) == 2
+    assert sorted(r.name for r in t.df().collect()) == ["B", "C", "a"]
+    assert sorted(r.v for r in t.df().selectExpr("_metadata_.version as v").collect()) == [1.0, 2.0, 2.0]
+    late = t._manifest()
+    assert t.delete({"field": "name", "operator": "eq", "value": "a"}) == 1
+    with pytest.raises(Conflict):  # a writer that began before
+        t._commit(late, late["data"], [])
+    assert C.changes(spark, t.path, "document:*").count() == 4
