@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -275,6 +277,15 @@ def test_sharding(spark, docs, texts):
         mine = [r.slot for r in got if r.shard == s]
         assert sorted(mine) == list(range(len(mine)))
     assert all(r.grown_shard in (r.shard, 5) for r in got) and {r.law for r in got} == {"key"}
+    def score(doc, shard):  # Spark's xxhash64 of several columns: each is hashed with the hash so far as seed
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 0), 42)
+        h = h if doc is None else xxhash.xxh64_intdigest(struct.pack("<q", doc), h)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), h)
+        return -1 / math.log(((h >> 11) + 0.5) / (1 << 53))
+
+    for r in got:
+        assert r.shard == max(range(5), key=lambda k: (score(r.doc_id, k), k))
+        assert r.grown_shard == max(range(6), key=lambda k: (score(r.doc_id, k), k))
     six = {r.doc_id: r.shard for r in sharding.shard_documents(docs, [1.0] * 6).collect()}
     assert all(six[r.doc_id] == r.grown_shard for r in got)
     wide = sharding.shard_rows(spark.range(20000), "id", [1.0, 2.0, 1.0]).groupBy("shard").count().collect()
@@ -440,7 +451,16 @@ def test_embeddings_exact_when_no_table_does(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     s = y @ y.T >= 0.9
-    assert {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()} == dict(enumerate((s.sum(axis=1) - 1).tolist()))
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert {i: r.n_links for i, r in got.items()} == dict(enumerate((s.sum(axis=1) - 1).tolist()))
+    least = np.arange(len(x))
+    for _ in range(len(x)):  # the smallest number spreads along links until nothing changes
+        now = np.where(s, least, len(x)).min(axis=1)
+        if (now == least).all():
+            break
+        least = now
+    assert {i: r.component_id for i, r in got.items()} == dict(enumerate(least.tolist()))
+    assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
 def test_mixing(spark, docs):
