@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: classify, apply rules, drop near-duplicates, mix sources, pack."""
+"""A training corpus from raw documents: classify, apply rules, drop near-duplicates, mix sources, pack.
+
+Every stage takes a null text as empty (it is scored, fails the rules' least number of words, and so goes), null sources
+as one source and null or repeated doc_ids as rows of their own, but for near-duplicates, of which one row stays; an
+empty table gives an empty one. All stages but the last return the columns they were given, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +46,8 @@ STAGES = [
     ("temperature_mixing", temperature_mixing),
     ("best_fit_packing", best_fit_packing),
 ]
-#: XXH64 fingerprints and tokenizer ids can't be had in SQL; tests hold ``run`` against a brute-force version.
+#: XXH64 fingerprints and tokenizer ids can't be had in SQL; tests hold the rules' and the near-duplicate stage against
+#: brute-force versions on a small table, the others' operators each by itself.
 ORACLE_SQL = None
 
 
